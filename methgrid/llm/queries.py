@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methgrid.llm import bpe, html, sharding, urls
+from methgrid.llm import bpe, html, quality, secrets, sharding, urls
 
 SHARDS = 24
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -21,6 +21,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -36,10 +41,21 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["k"] == secrets.KINDS.index(kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(F.encode(secrets.shown(F.col("base_spans")), "UTF-8"), 256).alias("base_sha256"),
+        secrets.shown(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_html_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jump_sharding, op5_url_language_model, op8_html_two_pass, op9_bpe_speculate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate)}
+ORACLES: dict[str, str] = {"op3_quality_cascade": quality.ORACLE_SQL}

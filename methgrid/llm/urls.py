@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from methgrid.llm.store import keep
 from methgrid.llm.textnp import BYTE_CODE, flat, mix
 
 #: (verdict, host, path)
@@ -82,7 +83,7 @@ def count(ruled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarra
                 pairs, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(pairs)), pa.array(pairs), pa.array(n)], ["verdict", "pair", "n"])
 
-    each = ruled.mapInArrow(run, "verdict string, pair long, n long").groupBy("verdict", "pair").agg(F.sum("n").alias("n"))
+    each = keep(ruled.mapInArrow(run, "verdict string, pair long, n long").groupBy("verdict", "pair").agg(F.sum("n").alias("n")))
     each = each.select("verdict", F.shiftright("pair", 18).alias("context"), F.col("pair").bitwiseAND(CELLS - 1).alias("gram"), "n")
     out = {}
     for verdict in ("allow", "block"):
