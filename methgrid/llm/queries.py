@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methgrid.llm import bpe, html, quality, secrets, sharding, urls
+from methgrid.llm import bpe, html, minhash, quality, secrets, sharding, urls
 
 SHARDS = 24
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -57,5 +57,9 @@ def op8_html_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate)}
+def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, width=3)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
 ORACLES: dict[str, str] = {"op3_quality_cascade": quality.ORACLE_SQL}
