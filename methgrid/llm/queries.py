@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methgrid.llm import bpe, html, minhash, quality, secrets, sharding, urls
+from methgrid.llm import bpe, decontam, html, lines, minhash, quality, secrets, sharding, urls
 
 SHARDS = 24
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -21,6 +21,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +45,10 @@ def op5_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda x: x["k"] == secrets.KINDS.index(kind))).cast("long")
@@ -61,5 +69,5 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
-ORACLES: dict[str, str] = {"op3_quality_cascade": quality.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_hashing, op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op6_spaced_seeds, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
+ORACLES: dict[str, str] = {"op1_line_hashing": lines.ORACLE_SQL, "op3_quality_cascade": quality.ORACLE_SQL}
