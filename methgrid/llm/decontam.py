@@ -88,21 +88,48 @@ class Index:
         return np.unique(np.concatenate(found, 1), axis=1)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item that leaks into it: ``doc_id``, ``item_id``, ``start_byte`` and ``end_byte`` of the leak in the document, ``n_equal`` words of ``n_aligned``, and ``n_item``, the item's words."""
+def slices_of(benchmark: DataFrame, item: str, item_text: str) -> Iterator[pa.Table]:
+    """The items in slices of bounded size."""
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slices = -(-int(size) // SLICE_BYTES)
+    slices = max(1, -(-int(size) // SLICE_BYTES))
+    for k in range(slices):
+        yield (items.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k) if slices > 1 else items).toArrow()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that leaks into it: ``doc_id``, ``item_id``, ``start_byte`` and ``end_byte`` of the leak in the document, ``n_equal`` words of ``n_aligned``, and ``n_item``, the item's words.
+
+    The benchmark's seeds go to the executors slice by slice; the documents
+    stay where they are.
+    """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     out = None
-    for k in range(max(slices, 1)):
-        part = items.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k) if slices > 1 else items
-        sent = docs.sparkSession.sparkContext.broadcast(Index(part.toArrow()))
+    for part in slices_of(benchmark, item, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(part))
         found = slim.mapInArrow(lambda batches, sent=sent: _search(batches, sent.value, percent, window), "doc_id long, item_id long, start_byte long, end_byte long, n_equal long, n_aligned long, n_item long")
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"doc_id": key, "item_id": item})
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` into which no item leaks; they pass through in place."""
+    for part in slices_of(benchmark, item, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(Index(part))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, text, 1 << 20):
+                place = pa.array(np.arange(len(batch)), pa.int64())
+                found = _search(iter([pa.RecordBatch.from_arrays([place, batch.column(text)], ["id", "t"])]), sent.value, percent, window)
+                bad = np.concatenate([x.column("doc_id").to_numpy() for x in found])
+                good = np.ones(len(batch), bool)
+                good[bad] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _search(batches: Iterator[pa.RecordBatch], index: Index, percent: int, window: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "t", 1 << 20):
         h, starts, ends, first, offsets = tokens(batch.column("t"))
@@ -142,10 +169,3 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, percent: int, windo
                 "n_item": pa.array(size[leak], pa.int64()),
             }
         )
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks."""
-    key = options.get("key", "doc_id")
-    found = leaks(docs, benchmark, **options).select(key).distinct()
-    return docs.join(found, key, "left_anti")
