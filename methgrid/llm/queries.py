@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methgrid.llm import bpe, decontam, html, lines, minhash, quality, secrets, sharding, urls
+from methgrid.llm import bpe, decontam, html, lines, minhash, quality, secrets, sharding, suffix, urls
 
 SHARDS = 24
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -25,6 +25,11 @@ def op1_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_earlier(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,5 +74,5 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, width=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_hashing, op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op6_spaced_seeds, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
+QUERIES = {f.__name__: f for f in (op1_line_hashing, op2_suffix_columns, op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op6_spaced_seeds, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
 ORACLES: dict[str, str] = {"op1_line_hashing": lines.ORACLE_SQL, "op3_quality_cascade": quality.ORACLE_SQL}
