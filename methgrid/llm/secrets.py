@@ -41,6 +41,8 @@ ALPHABETS = {
 LENGTHS = [16, 20, 24, 28, 32, 40, 48, 64, 96, 128]
 FALSE_SHARE = 0.05
 BINS = 20
+#: Words by which a class of lengths can be judged alone.
+ENOUGH_WORDS = 20
 
 
 def found(text: Column, pattern: str, least: int, kind: str) -> Column:
@@ -146,8 +148,11 @@ def fit(docs: DataFrame, text: str = "text") -> list[int]:
     rows = each.groupBy("length_class", "bin").agg(F.count_if("word").alias("words"), F.count_if(~F.col("word")).alias("others")).collect()
     lowest = []
     for k in range(len(LENGTHS)):
-        # words pass the less the longer they are: those of shorter classes count too, which errs on the safe side
-        words, others = [r for r in rows if r["length_class"] <= k], [r for r in rows if r["length_class"] == k]
+        # words pass the less the longer they are: where a class has too few of them, those of the next shorter ones count too, which errs on the safe side
+        low = k
+        while low and sum(r["words"] for r in rows if low <= r["length_class"] <= k) < ENOUGH_WORDS:
+            low -= 1
+        words, others = [r for r in rows if low <= r["length_class"] <= k], [r for r in rows if r["length_class"] == k]
         best = BINS + 1
         for bin_ in range(BINS, -1, -1):
             found_ = sum(r["others"] for r in others if r["bin"] >= bin_)
