@@ -5,8 +5,8 @@ changed word under a zero does no harm. Seeds of documents and of benchmark
 items are joined; around each hit the item is laid along the document and the
 words are compared one by one. An item leaks into a document where, in a window
 of ``WINDOW`` words (the whole item, if shorter), at least the asked share of
-words is equal. Words are runs without white space and ASCII punctuation, with
-A-Z lower-cased.
+words is equal. Words are runs without white space and ASCII punctuation, in
+lower case.
 
 Cases: null and empty texts leak nothing; items of fewer words than a seed has
 ones are too short to tell and are left out; of an item's places in a document
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ BLANKED = np.where(BREAK, np.uint8(32), LOWER)
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words, the number of each row's first word, and the rows' offsets."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    lower = pc.utf8_lower(column)
+    # offsets must hold in the original: the rare texts whose length changes keep their other capitals
+    column = pc.if_else(pc.equal(pc.binary_length(lower), pc.binary_length(column)), lower, column)
     data, offsets = flat(column)
     data = BLANKED[data]
     starts, ends, first = cut_words(data, offsets)

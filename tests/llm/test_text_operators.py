@@ -273,6 +273,10 @@ def test_leaks(spark):
                 body[len(body) // 2 : len(body) // 2] = [x.upper() + "," if r.random() < 0.5 else x for x in item]
                 want.add((k, n))
         rows.append((k, " ".join(body)))
+    accents = ["é" + x for x in items[3]]
+    items.append(accents)
+    rows += [(505, " ".join(accents).upper())]
+    want.add((505, 5))
     rows += [(500, None), (501, ""), (502, " ".join(items[2])), (502, " ".join(items[2])), (503, " ".join(items[2][:14])), (504, " ".join(items[4]))]
     want |= {(502, 2), (503, 2)}
     df, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(9, None), (None, "a")], "item_id long, text string")
@@ -462,7 +466,6 @@ def test_near_duplicates(spark, width, percent):
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    monkeypatch.setattr(minhash, "WIDEN", 2)
     texts = dict(enumerate(family(60, 100, 3)))
     got = by_id(minhash.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), 85, 3))
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in slow_components(texts, 3, 85).items()}
