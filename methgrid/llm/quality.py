@@ -98,11 +98,12 @@ def default_rules(text: Column) -> list[Rule]:
     text = F.coalesce(text, F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", symbols(text) * 100 > word_chars(text) * 10),
+        Rule("symbols", symbols(text) * 100 > word_chars(text) * 5),
         Rule("shouting", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) * 100 > letters * 50),
         Rule("letters", letters * 100 < word_chars(text) * 50),
         Rule("long_words", word_chars(text) > let(text_words(text), F.size) * 20),
-        Rule("duplicate_lines", duplicate_lines(text) * 100 > F.size(F.split(text, "\n")) * 30),
+        Rule("duplicate_lines", let(duplicate_lines(text), lambda n: (n >= 3) & (n * 100 > F.size(F.split(text, "\n")) * 30))),
+        Rule("stutter", let(text_words(text), lambda w: F.size(F.filter(upto(F.size(w)), lambda i: F.coalesce(F.get(w, i) == F.get(w, i + 1), F.lit(False)))) * 100 > F.size(w) * 30)),
     ]
 
 
@@ -165,11 +166,12 @@ c AS (SELECT w.doc_id, w.t, len(words)::BIGINT AS n_words, length(array_to_strin
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
              length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters,
              length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS capitals,
-             len(string_split(t, chr(10))) AS n_lines
+             len(string_split(t, chr(10))) AS n_lines,
+             len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutter
       FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols * 100 > word_chars * 10 OR capitals * 100 > letters * 50 OR letters * 100 < word_chars * 50
-            OR word_chars > n_words * 20 OR n_dup_lines * 100 > n_lines * 30) AS kept
+       NOT (base_failed OR n_symbols * 100 > word_chars * 5 OR capitals * 100 > letters * 50 OR letters * 100 < word_chars * 50
+            OR word_chars > n_words * 20 OR (n_dup_lines >= 3 AND n_dup_lines * 100 > n_lines * 30) OR n_stutter * 100 > n_words * 30) AS kept
 FROM b
 """
