@@ -506,5 +506,5 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, body), (2, body + " tail")], DOCS)
     assert {r.doc_id: r.kept for r in minhash.near_duplicates(df).collect()} == {1: True, 2: False}
     rows = {r.doc_id: r for r in suffix.remove_earlier(df).collect()}
-    assert (rows[1].spans, len(rows[2].kept)) == ([], 5)
+    assert (rows[1].spans, rows[2].kept) == ([], b"tail")  # the blank before it ends a window seen before
     assert hashlib.sha256(rows[1].kept).hexdigest() == hashlib.sha256(body.encode()).hexdigest()
