@@ -1,12 +1,14 @@
 """Near-duplicate groups by MinHash: universal hash minima, banding, verification on full sets, and connected components.
 
 Documents with equal shingle sets are one text; the rest works on one document
-of each. Texts that agree in a band meet in its bucket. Each bucket first
-compares its members with its smallest one alone. Buckets whose members then
-still are of several components go on: in rounds, each member is compared with
-its likeliest partners of other components, by signature, until none is left,
-so that no link that could join two components is skipped and no bucket's
-pairs are all listed. Every link is confirmed on the full shingle sets.
+of each. Texts that agree in a band meet in its bucket. First each bucket's
+members are compared with its smallest one alone, which joins most of them.
+Where members then still are of several components, every member outside the
+bucket's largest component is compared with all members of other components,
+block by block, by counting common shingles over postings. So each pair that
+could join two components is compared, and no bucket's pairs are listed: a
+block gives at most one link for each component that it joins. Every link is
+confirmed on the full shingle sets.
 
 Cases: null and empty texts, and texts of white space, have no shingles and
 stay alone; repeated rows are copies of each other; an empty table gives an
@@ -31,8 +33,6 @@ from methgrid.llm.textnp import LOWER, flat, mix, owners, pieces, span_hash, wor
 MISS = 1e-6
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
-#: Each round of a bucket tries this many times more partners for each member.
-WIDEN = 8
 #: Standard errors by which a signature may fall short of the threshold.
 SLACK = 5.0
 
@@ -140,106 +140,111 @@ def sketch(docs: DataFrame, bands: Bands, width: int, key: str, text: str) -> Da
     return slim.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, buckets array<long>, signature binary, packed binary, size long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets are similar enough."""
-    left = texts.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa"))
-    right = texts.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "sa", "pb", "sb")
+def unpacked(packed: list[bytes], sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of packed texts."""
+    raw = [pa.decompress(p, n, "zstd", asbytes=True) if n else b"" for p, n in zip(packed, sizes)]
+    return shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([*map(len, raw)])].astype(np.int64), width)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, bands: Bands) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full sets are similar enough; those whose signatures are too far apart are not unpacked."""
+    side = lambda c: texts.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "signature", "packed", "size")])
+    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
+    least = bands.least * bands.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("signature_a", "signature_b"))
+                batch = batch.filter(pa.array((x == y).sum(1) >= least))
+                if not len(batch):
+                    continue
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                need: dict[int, tuple[bytes, int]] = {}
-                for side, size, ids in (("pa", "sa", a), ("pb", "sb", b)):
-                    for i, p, n in zip(ids, batch.column(side), batch.column(size)):
-                        if i not in need and not (last and last[0] == i):
-                            need[i] = (p.as_py(), n.as_py())
-                raw = [pa.decompress(p, n, "zstd", asbytes=True) for p, n in need.values()]
-                sets, where = shingles(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([*map(len, raw)])].astype(np.int64), width)
+                need: dict[int, tuple[pa.Scalar, pa.Scalar]] = {}
+                for side, ids in (("a", a), ("b", b)):
+                    for i, p, n in zip(ids, batch.column(f"packed_{side}"), batch.column(f"size_{side}")):
+                        need.setdefault(i, (p, n))
+                sets, where = unpacked([p.as_py() for p, _ in need.values()], [n.as_py() for _, n in need.values()], width)
                 own = {i: sets[where[k] : where[k + 1]] for k, i in enumerate(need)}
-                if last:
-                    own.setdefault(*last)
-                good = []
-                for i, j in zip(a, b):
-                    x, y = own[i], own[j]
-                    lo, hi = sorted((len(x), len(y)))
-                    if 100 * lo < percent * hi:
-                        good.append(False)
-                        continue
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * common >= percent * (lo + hi - common))
-                last = (a[-1], own[a[-1]])
-                yield pa.RecordBatch.from_pydict({"u": batch.column("b").filter(pa.array(good)), "v": batch.column("a").filter(pa.array(good))})
-
-    return both.mapInArrow(run, "u long, v long")
-
-
-def partners(members: DataFrame, bands: Bands, percent: int, tried: int, upto: int) -> DataFrame:
-    """For members (bucket, block, id, label, hub, n_shingles, signature) of open buckets: pairs of different labels whose signatures agree enough, each member's partners of rank ``tried`` to ``upto``; and a row (-1, -1) where there are more."""
-    least = bands.least * bands.size
-
-    def of_group(ids: np.ndarray, labels: np.ndarray, hubs: np.ndarray, sizes: np.ndarray, signs: np.ndarray, blocks: np.ndarray, mine: int, other: int) -> tuple[list[np.ndarray], bool]:
-        out, more = [], False
-        left, right = np.flatnonzero(blocks == mine), np.flatnonzero(blocks == other)
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
-            agree = np.zeros((len(rows), len(right)), np.int32)
-            for k in range(0, len(rows), 16):
-                agree[k : k + 16] = (signs[rows[k : k + 16], None, :] == signs[None, right, :]).sum(2)
-            lo, hi = np.minimum(sizes[rows][:, None], sizes[right]), np.maximum(sizes[rows][:, None], sizes[right])
-            open_ = (agree >= least) & (100 * lo >= percent * hi) & (ids[rows][:, None] != ids[right])
-            if not open_.any():
-                continue
-            rank = np.argsort(np.argsort(np.where(open_, -agree, 1), axis=1, kind="stable"), axis=1, kind="stable")
-            # which partner has which rank never changes; those of one's own component and the hub, which was compared at first, need no test
-            open_ &= (labels[rows][:, None] != labels[right]) & ~hubs[rows][:, None] & ~hubs[right]
-            more = more or bool((open_ & (rank >= upto)).any())
-            i, j = np.nonzero(open_ & (rank >= tried) & (rank < upto))
-            if len(i):
-                x, y = ids[rows[i]], ids[right[j]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        return out, more
+                common = [len(np.intersect1d(own[i], own[j], assume_unique=True)) for i, j in zip(a, b)]
+                good = pa.array([100 * n >= percent * (len(own[i]) + len(own[j]) - n) for i, j, n in zip(a, b, common)])
+                yield pa.RecordBatch.from_pydict({"u": batch.column("b").filter(good), "v": batch.column("a").filter(good)})
+
+    return both.select("a", "b", "signature_a", "packed_a", "size_a", "signature_b", "packed_b", "size_b").mapInArrow(run, "u long, v long")
+
+
+def joining_links(sets: np.ndarray, where: np.ndarray, ids: np.ndarray, labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``left`` and ``right`` of different labels, as many as join labels anew."""
+    n = np.diff(where)
+    in_right = np.zeros(len(n), bool)
+    in_right[right] = True
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(sets, kind="stable")
+    order = order[in_right[row[order]]]
+    values, holder = sets[order], row[order]  # postings of the right side
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for k in left.tolist():
+        own = sets[where[k] : where[k + 1]]
+        lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        common = np.bincount(holder[at], minlength=len(n))
+        linked = np.flatnonzero((common * 100 >= percent * (n[k] + n - common)) & (labels != labels[k]) & (common > 0))
+        for j in linked[np.unique(labels[linked], return_index=True)[1]].tolist():
+            x, y = root(int(labels[k])), root(int(labels[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(ids[k]), int(ids[j])))
+    return out
+
+
+def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """For members (bucket, home, away, id, label, is_left, packed, size), sorted by group: joining links of each group's left rows with its right rows."""
+
+    def of_group(rows: pa.Table) -> list[tuple[int, int]]:
+        side = rows.column("is_left").to_numpy()
+        ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+        ids, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        labels = labels[first]
+        picked = rows.select(["packed", "size"]).take(pa.array(first))
+        sets, where = unpacked(picked.column("packed").to_pylist(), picked.column("size").to_pylist(), width)
+        return joining_links(sets, where, ids, labels, np.unique(back[side]), np.unique(back[~side]), percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("bucket", "home", "away")
         held: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            get = lambda c: table.column(c).to_numpy()
-            bucket, mine, other = get("bucket"), get("mine"), get("other")
-            ids, labels, hubs, sizes, blocks = get("id"), get("label"), get("is_hub"), get("n_shingles"), get("block")
-            signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-            cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (mine[1:] != mine[:-1]) | (other[1:] != other[:-1])])
-            found, more = [], False
-            for a, b in zip(cut, np.r_[cut[1:], len(ids)]):
-                pairs, rest = of_group(ids[a:b], labels[a:b], hubs[a:b], sizes[a:b], signs[a:b], blocks[a:b], mine[a], other[a])
-                found += pairs
-                more = more or rest
-            if more:
-                found.append(np.array([[-1], [-1]]))
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = of_group(pa.Table.from_batches(held))
+            held.clear()
             if found:
-                a, b = np.unique(np.concatenate(found, 1), axis=1)
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-        for batch in batches:  # sorted by group; the last group may go on in the next batch
+        last = None
+        for batch in batches:
             if not len(batch):
                 continue
-            key = [batch.column(c).to_numpy() for c in ("bucket", "mine", "other")]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
-            if cut:
-                yield from flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("bucket", "mine", "other"), key)):
-                yield from flush(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
+            keys = np.stack([batch.column(c).to_numpy() for c in names])
+            cut = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+            for a, b in zip(cut, np.r_[cut[1:], len(batch)]):
+                key = tuple(keys[:, a])
+                if held and key != last:
+                    yield from flush()
+                held.append(batch.slice(a, b - a))
+                last = key
         if held:
-            yield from flush(pa.Table.from_batches(held))
+            yield from flush()
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,54 +258,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     own = sketches.join(texts.select("id"), "id", "left_semi")
     slots = own.select("id", F.explode("buckets").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    shared = store.write(shared, "shared")  # a side of its own, so that Spark can split a large bucket in the join
     slots = store.write(slots.join(shared, "bucket"), "slots")
     involved = slots.select("id").distinct()
     packed = store.write(own.join(involved, "id", "left_semi").select("id", "n_shingles", "signature", "packed", "size"), "packed")
     first = slots.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    edges = store.write(verified(likely(first, packed, bands, percent), packed, width, percent), "edges")
-    labels = components(edges, store, "stars")
-    tried, rounds = 0, 0
-    upto = WIDEN
-    while True:
-        labelled = slots.filter("members > 2").join(labels, slots["id"] == labels["node"], "left").select("bucket", "id", "hub", "members", F.coalesce("component", "id").alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        members = labelled.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        # a block meets itself and every later one; a bucket of one block is copied once
-        members = members.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-        members = members.select("bucket", "id", "label", (F.col("id") == F.col("hub")).alias("is_hub"), "block", F.least("block", "with").alias("mine"), F.greatest("block", "with").alias("other"))
-        members = members.join(packed.select("id", "n_shingles", "signature"), "id")
-        members = members.repartition("bucket", "mine", "other").sortWithinPartitions("bucket", "mine", "other", "id")
-        found = store.write(partners(members, bands, percent, tried, upto).distinct(), "partners")
-        more = bool(found.filter("a = -1").count())
-        pairs = found.filter("a >= 0")
-        new = verified(pairs, packed, width, percent) if found.filter("a >= 0").limit(1).count() else None
-        if new is not None:
-            edges = store.write(edges.unionByName(new), "edges" if rounds % 2 else "edges-more")
-            labels = components(edges, store, "stars")
-        rounds += 1
-        if not more:
-            break
-        tried, upto = upto, upto * WIDEN
-    labels = store.write(labels, "labels")
+    edges = store.write(verified(first, packed, width, percent, bands), "edges")
+    labels = store.write(components(edges, store, "stars"), "labels")
+    # buckets of two are settled; those of several components go on
+    slots = slots.filter("members > 2").select("bucket", "id").join(labels, slots["id"] == labels["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    kinds = slots.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    open_ = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+    blocks, away = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
+    members = slots.join(open_.select("bucket", "main", blocks.alias("homes"), away.alias("aways")), "bucket")
+    members = store.write(members.select("*", F.pmod(F.xxhash64("id"), F.col("homes")).cast("int").alias("home"), F.pmod(F.xxhash64("id"), F.col("aways")).cast("int").alias("away")), "members")
+    right = members.select("bucket", "home", F.explode(F.sequence(F.lit(0), F.col("aways") - 1)).alias("away"), "id", "label", F.lit(False).alias("is_left"))
+    left = members.filter("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("home"), "away", "id", "label", F.lit(True).alias("is_left"))
+    grouped = right.unionByName(left).join(packed.select("id", "packed", "size"), "id").repartition("bucket", "home", "away").sortWithinPartitions("bucket", "home", "away")
+    more = store.write(block_links(grouped, width, percent), "more")
+    between = more.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    joined = store.write(components(between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), store, "joined"), "joins")
+    final = labels.select("node", "component").join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    labels = store.write(final.unionByName(alone), "all-labels")
     of_text = texts.join(labels, texts["id"] == labels["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select(F.col("id"), "n_shingles", "d1", "d2").join(of_text, ["d1", "d2"]).select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    store.drop("slots", "packed", "partners", "edges", "edges-more", "stars-a", "stars-b")
+    store.drop("slots", "shared", "packed", "members", "more", "edges", "labels", "joins", "stars-a", "stars-b", "joined-a", "joined-b")
     rest = [c for c in docs.columns if c not in (key, text, *made)]
     return out if not rest else docs.select(key, *rest).join(out.dropDuplicates([key]), key)
-
-
-def likely(pairs: DataFrame, packed: DataFrame, bands: Bands, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures allow the similarity."""
-    side = lambda c: packed.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
-    least = bands.least * bands.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sa", "sb"))
-                good = pa.array((x == y).sum(1) >= least)
-                yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(good) for c in ("a", "b")})
-
-    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
