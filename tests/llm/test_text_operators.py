@@ -508,3 +508,20 @@ def test_very_long_text(spark):
     rows = {r.doc_id: r for r in suffix.remove_earlier(df).collect()}
     assert (rows[1].spans, rows[2].kept) == ([], b"tail")  # the blank before it ends a window seen before
     assert hashlib.sha256(rows[1].kept).hexdigest() == hashlib.sha256(body.encode()).hexdigest()
+
+
+CLASHING = ["id", "t", "n_shingles", "component_id", "kept", "ids", "decoded", "n_tokens", "spans", "base_spans", "size", "shard", "slot", "n_words", "rejected_by", "removed", "score", "verdict", "host", "path", "rule", "d1", "bucket", "chunk", "unit_no"]
+
+
+@pytest.mark.parametrize(
+    "run",
+    [lines.repeated_units, lines.dedup, suffix.remove_earlier, quality.judge, secrets.scan, minhash.near_duplicates, lambda d: sharding.assign_shards(d, 5), lambda d: bpe.encode_decode(d, vocabulary_path()), lambda d: decontam.leaks(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: urls.judge(d.withColumnRenamed("text", "url"), URL_RULES), lambda d: html.extract(d.withColumnRenamed("text", "html"))],
+    ids=["lines", "dedup", "suffix", "quality", "secrets", "minhash", "sharding", "bpe", "decontam", "urls", "html"],
+)
+def test_clashing_names_and_nulls(spark, run):
+    """Columns named like results or like intermediate ones, with nulls in every column."""
+    df = spark.createDataFrame([(1, "one line of some words here\nand another"), (2, None), (None, "one line of some words here"), (None, None)], DOCS)
+    df = df.select("*", *[F.lit(None).cast("string").alias(c) for c in CLASHING])
+    out = run(df)
+    assert len(out.columns) == len(set(out.columns))
+    out.collect()
