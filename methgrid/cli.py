@@ -27,7 +27,8 @@ def bam2pm(spark: SparkSession, args) -> None:
     chroms = chroms_of(spark, args)
     reads = read(spark, args.in_bam, chroms=[r["chrom"] for r in chroms.select("chrom").collect()])
     prefix = args.bed_prefix if args.bed_prefix.endswith("_") else args.bed_prefix + "_"
-    rendered = pileup.render(pileup.pileup(reads, args.methtype, args.strand, args.max_dup_reads))
+    # BAM files that are read by contig are sorted, so duplicates can be sought start by start
+    rendered = pileup.render(pileup.pileup(reads, args.methtype, args.strand, args.max_dup_reads, sorted_by_start=args.in_bam.endswith(".bam")))
     sinks.write_sites(rendered, chroms, prefix.rstrip("_"), args.header or prefix.rpartition("/")[2], args.genome)
 
 
