@@ -40,14 +40,15 @@ from pyspark.sql import functions as F
 from methgrid.llm.store import Store
 from methgrid.llm.textnp import flat, mix, pieces, span_hash
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of text that are hashed at a time, which bounds a task's memory.
+PIECE_BYTES = 512 << 10
 #: Inner grams of 26 bytes leave 25 windows of 50 bytes around each place.
 GRAM_SHARE = 0.52
-#: A minimizer of more chunks than this is frequent.
-FREQUENT = 48
+#: A minimizer of more chunks than this is frequent. Up to here its distinct fragments are a small part of a task; one window apiece costs twenty times the bytes.
+FREQUENT = 4096
 #: Strings that one construction takes, unless one minimizer alone has more.
 COLLECTION = 1024
-PLACE_BITS = np.uint64(24)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,20 +62,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of windows with one minimizer: its hash, the first window's start, the number of windows, the document."""
+    parts = []
+    d = 0
+    while d < len(offsets) - 1:
+        to = max(d + 1, int(np.searchsorted(offsets, offsets[d] + PIECE_BYTES, "right")) - 1)
+        low, high = int(offsets[d]), int(offsets[to])
+        # a long text goes in parts that overlap by a window less one byte
+        for at in range(low, high, PIECE_BYTES) if to == d + 1 else (low,):
+            stop = min(high, at + PIECE_BYTES + length - 1) if to == d + 1 else high
+            f, s, n, own = piece_fragments(data[at:stop], offsets[d : to + 1] - low if to > d + 1 else np.array([0, stop - at]), length)
+            parts.append((f, s + at, n, own + d))
+        d = to
+    if not parts:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def piece_fragments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """fragments() of less than 2**24 bytes."""
     gram = max(1, int(length * GRAM_SHARE))
     width = length - gram + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.view(np.uint64), none, none, none
-    if len(data) >= 1 << 24:  # places must fit beside the hashes: one long text in overlapping parts
-        step = (1 << 23) - length
-        parts = []
-        for d in range(len(offsets) - 1):
-            for at in range(int(offsets[d]), int(offsets[d + 1]), step):
-                stop = min(int(offsets[d + 1]), at + step + length - 1)
-                f, s, n, _ = fragments(data[at:stop], np.array([0, stop - at]), length)
-                parts.append((f, s + at, n, np.full(len(f), d)))
-        return tuple(np.concatenate(x) for x in zip(*parts))
     place = np.arange(len(data) - gram + 1)
     h = span_hash(data, place, place + gram)
     low = np.uint64((1 << 24) - 1)
@@ -161,6 +171,20 @@ def earlier(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: n
     return out
 
 
+def squeezed(column: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes: high bytes, which hardly change, cost next to nothing."""
+    return pa.compress(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes(), "zstd", asbytes=True) if len(column) else b""
+
+
+def spread(packed: bytes, n: int, kind: type) -> np.ndarray:
+    """The ``n`` numbers of squeezed()."""
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(packed, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
 def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Documents packed into chunks: the number of the chunk, ids, sizes, bytes."""
 
@@ -170,7 +194,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
             ids = batch.column("id").fill_null(-1).to_numpy().astype(np.int64)
             number = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(ids[0] & 0xFFFF) + np.uint64(len(ids))], np.uint64)).view(np.int64)[0])
             yield pa.RecordBatch.from_pydict(
-                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())}
+                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([pa.Codec("zstd", compression_level=5).compress(data.tobytes(), asbytes=True)], pa.binary())}
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "chunk long, ids binary, sizes binary, n_bytes long, packed binary")
@@ -209,28 +233,27 @@ def print_rows(chunks: DataFrame, length: int, buckets: int, width: int) -> Data
                 keys, several = distinct(prints, ids[doc], width)
                 at = cut(keys, buckets, width)
                 full = [k for k in range(buckets) if at[k] < at[k + 1]]
-                raw = keys[:, None].view(np.uint8)[:, :width] if len(keys) else np.zeros((0, width), np.uint8)
+                steps = lambda x: np.diff(x, prepend=np.uint64(0))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array(full, pa.int32()),
                         "chunk": pa.array([row["chunk"]] * len(full), pa.int64()),
-                        "keys": pa.array([raw[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()),
+                        "n": pa.array([at[k + 1] - at[k] for k in full], pa.int64()),
+                        "keys": pa.array([squeezed(steps(keys[at[k] : at[k + 1]])) for k in full], pa.binary()),
                         "several": pa.array([np.packbits(several[at[k] : at[k + 1]]).tobytes() for k in full], pa.binary()),
                     }
                 )
 
-    return chunks.mapInArrow(run, "bucket int, chunk long, keys binary, several binary")
+    return chunks.mapInArrow(run, "bucket int, chunk long, n long, keys binary, several binary")
 
 
-def shared_prints(rows: DataFrame, width: int) -> DataFrame:
+def shared_prints(rows: DataFrame) -> DataFrame:
     """For each chunk and bucket which fingerprints are of several documents, and which are frequent."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("keys").to_pylist()]
-        sizes = np.array([*map(len, parts)])
-        keys = np.zeros((int(sizes.sum()), 8), np.uint8)
-        keys[:, :width] = np.concatenate(parts)
-        _, back, count = np.unique(keys.view(np.uint64)[:, 0], return_inverse=True, return_counts=True)
+        sizes = table.column("n").to_numpy()
+        keys = np.concatenate([np.cumsum(spread(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table.column("keys").to_pylist(), sizes.tolist())])
+        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("several").to_pylist(), sizes)]).astype(bool)
         shared = count > 1
         shared[back[several]] = True
@@ -278,30 +301,33 @@ def fragment_rows(chunks: DataFrame, replies: DataFrame, length: int, buckets: i
                 for k in full:
                     own = heads[at[k] : at[k + 1]]
                     body = b"".join([raw[a:b] for a, b in zip(start[own].tolist(), (start[own] + n[own] + (length - 1)).tolist())])
-                    payload.append((group[own].tobytes(), digest[own].tobytes(), n[own].astype(np.uint16).tobytes(), first[at[k] : at[k + 1]].tobytes(), pa.compress(body, "zstd", asbytes=True)))
+                    # a cut group number may join two minimizers in one collection, which does no harm
+                    payload.append((len(own), squeezed((group[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), squeezed(n[own].astype(np.uint8)), squeezed(first[at[k] : at[k + 1]]), pa.compress(body, "zstd", asbytes=True)))
                 order = np.argsort(start, kind="stable")
-                payload.append((start[order].astype(np.int64).tobytes(), number[order].astype(np.int64).tobytes(), n[order].astype(np.uint16).tobytes(), b"", b""))
-                columns = [pa.array(list(x), pa.binary()) for x in zip(*payload)]
+                payload.append((len(order), squeezed(np.diff(start[order], prepend=0).astype(np.uint32)), squeezed(n[order].astype(np.uint8)), squeezed(number[order].astype(np.uint32)), b""))
+                counts, *rest = zip(*payload)
+                columns = [pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in rest]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([0] * len(full) + [1], pa.int32()), pa.array([*full, -1], pa.int32()), pa.array([row["chunk"]] * len(payload), pa.int64()), *columns],
-                    ["kind", "bucket", "chunk", "a", "b", "n", "first", "body"],
+                    ["kind", "bucket", "chunk", "count", "a", "n", "b", "body"],
                 )
 
     gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "shared", "frequent")).alias("replies"))
-    return chunks.join(gathered, "chunk", "left").mapInArrow(run, "kind int, bucket int, chunk long, a binary, b binary, n binary, first binary, body binary")
+    return chunks.join(gathered, "chunk", "left").mapInArrow(run, "kind int, bucket int, chunk long, count long, a binary, n binary, b binary, body binary")
 
 
 def decided(rows: DataFrame, length: int) -> DataFrame:
     """For each chunk and bucket: each fragment's smallest id of all, and bits for the windows that an even smaller id has."""
 
     def run(table: pa.Table) -> pa.Table:
-        of = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        windows = of("n", np.uint16)
-        counts = np.array([*map(len, windows)])
-        group, digest, first, n = np.concatenate(of("a", np.uint64)), np.concatenate(of("b", np.uint64)), np.concatenate(of("first", np.int64)), np.concatenate(windows).astype(np.int64)
-        body = np.frombuffer(b"".join(pa.decompress(x, int((w.astype(np.int64) + length - 1).sum()), "zstd", asbytes=True) for x, w in zip(table.column("body").to_pylist(), windows)), np.uint8)
+        counts = table.column("count").to_numpy()
+        of = lambda c, kind: [spread(x, k, kind) for x, k in zip(table.column(c).to_pylist(), counts.tolist())]
+        windows = [w.astype(np.int64) for w in of("n", np.uint8)]
+        group, first, n = np.concatenate(of("a", np.uint32)), np.concatenate(of("b", np.int64)), np.concatenate(windows)
+        body = np.frombuffer(b"".join(pa.decompress(x, int((w + length - 1).sum()), "zstd", asbytes=True) for x, w in zip(table.column("body").to_pylist(), windows)), np.uint8)
         size = n + length - 1
         start = np.cumsum(size) - size
+        digest = np.concatenate([span_hash(body[start[k] : start[e] + size[e]], start[k : e + 1] - start[k], start[k : e + 1] - start[k] + size[k : e + 1]) for k in range(0, len(start), 8192) for e in [min(k + 8191, len(start) - 1)]])
         order = np.lexsort((digest, group))
         new = np.ones(len(order), bool)
         new[1:] = (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1])
@@ -325,10 +351,10 @@ def decided(rows: DataFrame, length: int) -> DataFrame:
             mask[part] = earlier(text, np.cumsum(size[own]) - size[own], size[own], least[part], length)
             at = to
         ends = np.cumsum(counts)
-        packed = lambda x: pa.array([x[number[e - c : e]].tobytes() for e, c in zip(ends, counts)], pa.binary())
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "least": packed(least), "mask": packed(mask)})
+        packed = lambda x: pa.array([squeezed(x[number[e - c : e]]) for e, c in zip(ends, counts)], pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "count": table.column("count"), "least": packed(least), "mask": packed(mask)})
 
-    return rows.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, least binary, mask binary")
+    return rows.groupBy("bucket").applyInArrow(run, "chunk long, bucket int, count long, least binary, mask binary")
 
 
 def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,15 +364,17 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     store = Store(docs.sparkSession)
     chunks = store.write(chunked(docs, key, text), "chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, math.ceil(total / (12 << 20)))
+    # larger corpora get larger buckets first, so that a chunk's row for a bucket still carries many fingerprints
+    buckets = max(8, math.ceil(total / min(256 << 20, max(12 << 20, total / 1024))))
     grams = max(1, total / (length * (1 - GRAM_SHARE) / 2))
     width = min(8, math.ceil((math.log2(grams) + 10) / 8))
     prints = print_rows(chunks, length, buckets, width)
-    replies = store.write(shared_prints(prints, width), "replies")
+    replies = store.write(shared_prints(prints), "replies")
     rows = store.write(fragment_rows(chunks, replies, length, 2 * buckets, width), "fragments")
     answers = store.write(decided(rows.filter("kind = 0").drop("kind"), length), "answers")
-    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "least", "mask")).alias("answers"))
-    places = rows.filter("kind = 1").select("chunk", F.col("a").alias("start"), F.col("b").alias("number"), F.col("n").alias("windows"))
+    store.drop("replies")
+    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "count", "least", "mask")).alias("answers"))
+    places = rows.filter("kind = 1").select("chunk", F.col("count"), F.col("a").alias("start"), F.col("b").alias("number"), F.col("n").alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,15 +383,14 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                 change = np.zeros(len(data) + 1, np.int32)
                 found = sorted(row["answers"] or [], key=lambda x: x["bucket"])
                 if found:
-                    least, mask = (np.concatenate([np.frombuffer(x[c], np.int64) for x in found]) for c in ("least", "mask"))
-                    start, number, n = np.frombuffer(row["start"], np.int64), np.frombuffer(row["number"], np.int64), np.frombuffer(row["windows"], np.uint16).astype(np.int64)
+                    least, mask = (np.concatenate([spread(x[c], x["count"], np.int64) for x in found]) for c in ("least", "mask"))
+                    start, number, n = np.cumsum(spread(row["start"], row["count"], np.uint32), dtype=np.int64), spread(row["number"], row["count"], np.uint32), spread(row["windows"], row["count"], np.uint8).astype(np.int64)
                     own = ids[np.searchsorted(offsets, start, "right") - 1]
-                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(start, n) + inner
-                    later = np.repeat(own > least[number], n)
-                    bad = at[later | ((np.repeat(mask[number], n) >> inner) & 1).astype(bool)]
-                    np.add.at(change, bad, 1)
-                    np.add.at(change, bad + length, -1)
+                    later, bits = own > least[number], mask[number]
+                    for k in range(int(n.max(initial=0))):  # the windows of all fragments, column by column
+                        bad = start[(k < n) & (later | ((bits >> k) & 1).astype(bool))] + k
+                        change[bad] += 1  # no two windows begin at one place
+                        change[bad + length] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 edge = np.zeros(len(data) + 1, bool)
                 edge[offsets] = True
