@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from methgrid.llm.store import keep
 from methgrid.llm.textnp import LOWER, flat, mix, pieces, powers, span_hash, words
 
 #: Shorter lines say too little to call their repetition a copy.
@@ -82,6 +83,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
     """
     found = units(docs, min_words, key, text)
     earliest = found.filter("NOT again").groupBy("d1", "d2").agg(F.min("id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earliest = keep(earliest, "earliest")  # a side of its own: only then can Spark split a frequent line's rows in the join
     joined = found.join(earliest, ["d1", "d2"], "left")
     removed = joined.filter(F.col("again") | (F.col("id") > F.col("first_doc_id")))
     return removed.select(F.col("id").alias(key), "unit_no", "start_byte", "end_byte", "n_words", F.coalesce("first_doc_id", "id").alias("first_doc_id"))
