@@ -176,6 +176,11 @@ def squeezed(column: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes(), "zstd", asbytes=True) if len(column) else b""
 
 
+def tight(data: bytes) -> bytes:
+    """Text that is written, dealt and read several times; a high level pays."""
+    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
 def spread(packed: bytes, n: int, kind: type) -> np.ndarray:
     """The ``n`` numbers of squeezed()."""
     size = np.dtype(kind).itemsize
@@ -194,7 +199,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
             ids = batch.column("id").fill_null(-1).to_numpy().astype(np.int64)
             number = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(ids[0] & 0xFFFF) + np.uint64(len(ids))], np.uint64)).view(np.int64)[0])
             yield pa.RecordBatch.from_pydict(
-                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([pa.Codec("zstd", compression_level=5).compress(data.tobytes(), asbytes=True)], pa.binary())}
+                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([tight(data.tobytes())], pa.binary())}
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "chunk long, ids binary, sizes binary, n_bytes long, packed binary")
@@ -302,7 +307,7 @@ def fragment_rows(chunks: DataFrame, replies: DataFrame, length: int, buckets: i
                     own = heads[at[k] : at[k + 1]]
                     body = b"".join([raw[a:b] for a, b in zip(start[own].tolist(), (start[own] + n[own] + (length - 1)).tolist())])
                     # a cut group number may join two minimizers in one collection, which does no harm
-                    payload.append((len(own), squeezed((group[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), squeezed(n[own].astype(np.uint8)), squeezed(first[at[k] : at[k + 1]]), pa.compress(body, "zstd", asbytes=True)))
+                    payload.append((len(own), squeezed((group[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), squeezed(n[own].astype(np.uint8)), squeezed(first[at[k] : at[k + 1]]), tight(body)))
                 order = np.argsort(start, kind="stable")
                 payload.append((len(order), squeezed(np.diff(start[order], prepend=0).astype(np.uint32)), squeezed(n[order].astype(np.uint8)), squeezed(number[order].astype(np.uint32)), b""))
                 counts, *rest = zip(*payload)
