@@ -1,9 +1,12 @@
 """Main-text extraction from web pages by two passes of block rules.
 
 Pass one cuts a page into blocks and decides each by its container, its link
-density, its length and its share of stop words; short blocks stay undecided.
-Pass two lets every undecided block take the label of the nearest decided
-block beside it, the following one's for headings.
+density, its length and its share of stop words; headings, short blocks and,
+inside an article, long blocks of few stop words stay undecided. Pass two lets
+every undecided block take the label of the nearest decided block beside it,
+the following one's for headings. Inside an article the neighbours are those
+inside, outside those outside; with none decided there, an article's blocks
+are main text and others are not.
 
 Cases: null and empty pages, and pages with no main text, give an empty text;
 unclosed and stray tags, unfinished comments and references are read as
@@ -126,32 +129,31 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
 def main_blocks(page: str) -> list[str]:
     """The blocks of a page's main text."""
     found = blocks(page)
-    scoped = any(article and not aside for _, _, aside, article, _ in found)
     labels: list[bool | None] = []
     for text, tag, aside, article, linked in found:
-        if aside or scoped and not article or linked > LINKED * len(text):
+        if aside or linked > LINKED * len(text):
             labels.append(False)
-        elif tag in HEADING:
+        elif tag in HEADING or len(text) < LONG:
             labels.append(None)
-        elif len(text) >= LONG:
-            words = [w.strip(".,;:!?*#$%&'\"()") for w in text.lower().split()]
-            labels.append(scoped or sum(w in STOP_WORDS for w in words) >= STOPPED * len(words) or len(words) > 40)
         else:
-            labels.append(None)
-    decided = [k for k, x in enumerate(labels) if x is not None and (found[k][3] or not scoped)]
+            words = [w.strip(".,;:!?*#$%&'\"()") for w in text.lower().split()]
+            stopped = sum(w in STOP_WORDS for w in words) >= STOPPED * len(words) or len(words) > 40
+            labels.append(True if stopped else None if article else False)
+    # boilerplate containers say nothing about their neighbours, nor the inside of an article about the outside
+    decided = {scope: [k for k, x in enumerate(labels) if x is not None and not found[k][2] and found[k][3] == scope] for scope in (True, False)}
     kept = []
-    for k, (text, tag, aside, article, _) in enumerate(found):
+    for k, (text, tag, _, article, _) in enumerate(found):
         label = labels[k]
         if label is None:
-            before = max((d for d in decided if d < k), default=None)
-            after = min((d for d in decided if d > k), default=None)
+            before = max((d for d in decided[article] if d < k), default=None)
+            after = min((d for d in decided[article] if d > k), default=None)
             if before is None or after is None:
                 near = after if before is None else before
             elif tag in HEADING:
                 near = after
             else:
                 near = before if k - before <= after - k else after
-            label = scoped if near is None or scoped and not aside else labels[near]
+            label = article if near is None else labels[near]
         if label:
             kept.append(text)
     return kept
