@@ -2,7 +2,8 @@
 
 Two smoothed variable-order Markov models over the bytes of host and path are
 counted, one from all URLs that an allow rule fits and one from all that a
-block rule fits. A URL that no rule fits is judged by the difference of the
+block rule fits. The counts are exact: a distributed table of the grams of all
+URLs, which grows with the corpus and is joined to the URLs' bytes. A URL that no rule fits is judged by the difference of the
 two log-likelihoods per byte, against a threshold that is calibrated on a fold
 of the ruled URLs that the models did not see.
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,10 @@ from methgrid.llm.textnp import BYTE_CODE, flat, mix
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 ORDER = 5
-#: Counts live in this many hashed cells for each class, so that a model's size has a bound whatever the corpus.
+#: Bits for a byte, or the place before a text's start, in a gram.
+SYMBOL = 9
+UNIT = 1 << 40
+#: Cells for each class of loglik(), the model over hashed counts that fits in memory.
 CELLS = 1 << 18
 #: One fifth of the ruled URLs sets the threshold.
 FOLDS = 5
@@ -71,32 +74,6 @@ def cell(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def count(ruled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per class the counts of each gram's cell and each context's cell, and how many kinds of bytes followed a context; counted over all rows of ``ruled`` (seen, verdict)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdicts = np.array(batch.column("verdict").to_pylist(), object)
-            for verdict in sorted(set(verdicts)):
-                data, offsets = flat(batch.column("seen").filter(pa.array(verdicts == verdict)))
-                found = [cell(c) << 18 | cell(g) for c, g in grams(data, offsets)]
-                pairs, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(pairs)), pa.array(pairs), pa.array(n)], ["verdict", "pair", "n"])
-
-    each = keep(ruled.mapInArrow(run, "verdict string, pair long, n long").groupBy("verdict", "pair").agg(F.sum("n").alias("n")))
-    each = each.select("verdict", F.shiftright("pair", 18).alias("context"), F.col("pair").bitwiseAND(CELLS - 1).alias("gram"), "n")
-    out = {}
-    for verdict in ("allow", "block"):
-        own = each.filter(F.col("verdict") == verdict)
-        tables = [np.zeros(CELLS, np.float32) for _ in range(3)]
-        # at most CELLS rows each, whatever the corpus
-        by_gram = own.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        by_context = own.groupBy("context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
-        tables[0][by_gram["gram"]], tables[1][by_context["context"]], tables[2][by_context["context"]] = by_gram["n"], by_context["n"], by_context["kinds"]
-        out[verdict] = tuple(tables)
-    return out
-
-
 def loglik(data: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Each row's log-likelihood per byte; every order is smoothed by the next shorter one in proportion to the kinds of bytes seen."""
     gram_n, context_n, kinds = model
@@ -108,16 +85,87 @@ def loglik(data: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray, np.nd
     return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
-def scorer(df: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """A column function: how much likelier a URL is among the accepted, per byte."""
-    sent = df.sparkSession.sparkContext.broadcast(models)  # 6 * CELLS numbers
+def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Every byte with the ORDER bytes before it, exactly: SYMBOL bits each, the byte itself lowest, 0 before a text's start."""
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = np.zeros(len(data), np.int64)
+    for k in range(ORDER + 1):
+        inside = np.flatnonzero(place >= k)
+        out[inside] |= (data[inside - k].astype(np.int64) + 1) << (SYMBOL * k)
+    return out
+
+
+def positions(texts: DataFrame) -> DataFrame:
+    """For each text (uid, seen, allow, block) its grams with their number, and how often each stands under either verdict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                data, offsets = flat(part.column("seen"))
+                row = np.repeat(np.arange(len(part)), np.diff(offsets))
+                columns = [part.column(c).take(pa.array(row)) for c in ("uid", "allow", "block")]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array(codes(data, offsets)), *columns[1:]], ["uid", "gram", "allow", "block"])
+
+    return texts.select("uid", "seen", "allow", "block").mapInArrow(run, "uid long, gram long, allow long, block long")
+
+
+def short_orders(counted: DataFrame) -> dict[str, np.ndarray]:
+    """For each class the probability of every byte after every byte by orders 0 and 1; empty for a class without URLs. 257 * 256 rows at most come to the driver."""
+    mask = (1 << 2 * SYMBOL) - 1
+    rows = counted.filter("allow + block > 0").groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toPandas()
+    grams_ = rows["gram"].to_numpy(np.int64)
+    every = np.arange(mask + 1)
+    out = {}
+    for verdict in ("allow", "block"):
+        n = np.zeros(mask + 1)
+        n[grams_] = rows[verdict]
+        p = np.full(mask + 1, 1 / 256)
+        for k in (0, 1):
+            p = finer(every, n, p, k)
+        out[verdict] = p if n.any() else p[:0]
+    return out
+
+
+def finer(grams_: np.ndarray, n: np.ndarray, p: np.ndarray, order: int) -> np.ndarray:
+    """``p``, each gram's probability by the next shorter order, carried on to ``order``; ``n`` are the counts of all grams that share a context of that order with one of ``grams_``."""
+    own, at = np.unique(grams_ & ((1 << SYMBOL * (order + 1)) - 1), return_inverse=True)
+    gram_n = np.bincount(at, n, len(own))
+    of = np.unique(own >> SYMBOL, return_inverse=True)[1]
+    context_n, kinds = np.bincount(of, gram_n)[of][at], np.bincount(of, gram_n > 0)[of][at]
+    return np.where(context_n > 0, (gram_n[at] + kinds * p) / np.maximum(context_n + kinds, 1), p)
+
+
+def ratios(counted: DataFrame, short: dict[str, np.ndarray]) -> DataFrame:
+    """How much likelier each gram's byte is among the accepted, in units of 1 / UNIT: whole numbers, whose sums don't depend on the order of rows. Grams that share two bytes of context share those of every longer one, so each such group is settled alone."""
+    sent = counted.sparkSession.sparkContext.broadcast(short)
+
+    def run(group: pa.Table) -> pa.Table:
+        grams_ = group.column("gram").to_numpy()
+        logs = []
+        for verdict in ("allow", "block"):
+            p, n = np.full(len(grams_), 1 / 256), group.column(verdict).to_numpy().astype(float)
+            if len(sent.value[verdict]):
+                p = sent.value[verdict][grams_ & (len(sent.value[verdict]) - 1)]
+                for k in range(2, ORDER + 1):
+                    p = finer(grams_, n, p, k)
+            logs.append(np.log(p))
+        return pa.table({"gram": grams_, "ratio": np.rint((logs[0] - logs[1]) * UNIT).astype(np.int64)})
+
+    context = F.shiftright("gram", SYMBOL).bitwiseAND((1 << 2 * SYMBOL) - 1)
+    return counted.withColumn("context", context).groupBy("context").applyInArrow(run, "gram long, ratio long")
 
-    @F.pandas_udf("double")
-    def score(urls: pd.Series) -> pd.Series:
-        data, offsets = flat(pa.array(urls, pa.string()))
-        return pd.Series(loglik(data, offsets, sent.value["allow"]) - loglik(data, offsets, sent.value["block"]))
 
-    return score
+def scores(df: DataFrame) -> tuple[DataFrame, bool]:
+    """For each text of ``df`` (seen, allow, block: whether a model counts the row) the mean over its bytes of how much likelier it is among the accepted; and whether both classes have a URL."""
+    texts = df.groupBy("seen").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).withColumn("uid", F.monotonically_increasing_id())
+    texts = keep(texts, "texts")  # the numbers stay what they are
+    grams_ = positions(texts)
+    counted = keep(grams_.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "counted")
+    short = short_orders(counted)
+    found = keep(ratios(counted, short), "ratios")  # a side of its own, so that Spark can split a frequent gram's rows in the join
+    sums = grams_.select("uid", "gram").join(found, "gram").groupBy("uid").agg((F.sum("ratio") / F.count("*") / UNIT).alias("score"))
+    return keep(texts.select("uid", "seen").join(sums, "uid", "left").select("seen", F.coalesce("score", F.lit(0.0)).alias("score")), "scores"), all(map(len, short.values()))
 
 
 def threshold(scores: DataFrame) -> float:
@@ -143,12 +191,10 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     for v, h, p in rules:
         verdict = F.when(F.col("rule") == h + p, v).otherwise(verdict)
     df = df.withColumn("__verdict", verdict).withColumn("__seen", F.concat("host", "path"))
-    ruled = df.filter("__verdict IS NOT NULL").select(F.col("__seen").alias("seen"), F.col("__verdict").alias("verdict"), (F.pmod(F.xxhash64("__seen"), F.lit(FOLDS)) == 0).alias("held"))
-    models = count(ruled.filter("NOT held").select("seen", "verdict"))
-    score = scorer(df, models)
-    if not all(m[1].any() for m in models.values()):
-        border, able = 0.0, False
-    else:
-        border, able = threshold(ruled.filter("held").select("verdict", score("seen").alias("score"))), True
+    held = F.pmod(F.xxhash64("__seen"), F.lit(FOLDS)) == 0
+    counts = [F.coalesce((F.col("__verdict") == v) & ~held, F.lit(False)).cast("long").alias(v) for v in ("allow", "block")]
+    found, able = scores(df.select(F.col("__seen").alias("seen"), *counts))
+    df = df.join(found.select(F.col("seen").alias("__seen"), "score"), "__seen")
+    border = threshold(df.filter("__verdict IS NOT NULL").filter(held).select(F.col("__verdict").alias("verdict"), "score")) if able else 0.0
     judged = F.when(F.lit(not able) | (F.col("__seen") == "") | (F.col("score") >= border), "allow").otherwise("block")
-    return df.withColumn("score", score("__seen")).select(*rest, "host", "path", "rule", "score", F.coalesce("__verdict", judged).alias("verdict"))
+    return df.select(*rest, "host", "path", "rule", "score", F.coalesce("__verdict", judged).alias("verdict"))
