@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methgrid.llm import bpe, decontam, minhash, quality, secrets
 from methgrid.llm.queries import table, vocabulary_path
-from methgrid.llm.store import Store
+from methgrid.llm.store import Store, keep
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, a similarity of 0.8 or more) the one of smallest id stays."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80, width=5)
-    return docs.join(groups.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of near-duplicates (five-word shingles, a similarity of 0.8 or more) the one of smallest id stays, one without an id only where none has one.
+
+    Every row is a document of its own, known by a number and not by its id:
+    texts that share an id, or have none, are compared like any others, and of
+    equal ids in one group the first row stays.
+    """
+    docs = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # the numbers stay what they are
+    groups = minhash.near_duplicates(docs.select("__row", "text"), percent=80, width=5, key="__row").select("__row", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")
+    first = docs.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(rank).alias("first"))
+    return docs.join(first.select("first.__row"), "__row", "left_semi").drop("__row")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
