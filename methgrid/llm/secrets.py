@@ -27,15 +27,22 @@ HEX = r"([0-9a-f]{16,})"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
 #: Words in one case, single or joined by signs.
 WORDS = "^([A-Z]?[a-z]+|[A-Z]+)?([-_/=+]+([A-Z]?[a-z]+|[A-Z]+)?)*$"
+#: Hex digits in groups, as in UUIDs; digits alone may be dates.
+DASHED = "^(?=.*[a-fA-F])([0-9a-f]{2,}(-[0-9a-f]{2,})+|[0-9A-F]{2,}(-[0-9A-F]{2,})+)$"
+PADDED = "^([^=]+)={1,6}$"
 KINDS = ["assign", "access", "hex", "random"]
-#: Alphabets by encoding, smallest first; a candidate has the first that holds all its symbols.
+#: Alphabets by encoding in their own order, smallest first; a candidate has the first that holds all its symbols, padding and the dashes of grouped hex set aside.
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
     "letters": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=",
+    "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=",
 }
 #: Lower ends of the classes of lengths.
 LENGTHS = [16, 20, 24, 28, 32, 40, 48, 64, 96, 128]
@@ -85,9 +92,13 @@ def tail(z: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """Three times the smallest p-value of the battery, 1 at most: how well the token passes for random."""
-    encoding = F.lit(ALPHABETS["base64"])
-    for name in ("base32", "letters", "hex_upper", "hex", "decimal"):
-        encoding = F.when(token.rlike(f"^[{ALPHABETS[name]}]+$"), ALPHABETS[name]).otherwise(encoding)
+
+    def encoding(symbols: Column) -> Column:
+        out = F.lit(ALPHABETS["mixed"])
+        for name in [*ALPHABETS][-2::-1]:
+            members = ALPHABETS[name].replace("-", r"\-")
+            out = F.when(symbols.rlike(f"^[{members}]+$"), ALPHABETS[name]).otherwise(out)
+        return F.struct(symbols.alias("symbols"), out.alias("alphabet"))
 
     def battery(v: Column) -> Column:
         alphabet, x = v["alphabet"], v["x"]
@@ -109,10 +120,11 @@ def randomness(token: Column) -> Column:
         z_serial = F.when(total > 0, lagged / F.greatest(total, F.lit(1e-9)) * F.sqrt(n)).otherwise(30.0)
         return F.least(F.lit(1.0), 3 * F.least(tail(z_chi), tail(z_runs), tail(z_serial)))
 
-    def placed(alphabet: Column) -> Column:
-        return let(F.struct(alphabet.alias("alphabet"), F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c)).alias("x")), battery)
+    def placed(v: Column) -> Column:
+        return let(F.struct(v["alphabet"].alias("alphabet"), F.transform(F.split(v["symbols"], ""), lambda c: F.instr(v["alphabet"], c)).alias("x")), battery)
 
-    return let(encoding, placed)
+    bare = F.when(token.rlike(DASHED), F.replace(token, F.lit("-"), F.lit(""))).otherwise(F.regexp_replace(token, PADDED, "$1"))
+    return let(bare, lambda symbols: let(encoding(symbols), placed))
 
 
 def size_product(n: Column, high: Column) -> Column:
