@@ -1,9 +1,15 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule's cost and share of rejected documents are measured on a sample; the
-cascade then tries the rules by rejections per cost, and a document that one
-rule rejects is not put to the later ones. The order changes the cost alone,
-never the verdict.
+A text's base counts and the hashes of its words are made once. The cascade's
+rules read these or, where they need more, the text. Each rule's cost and share
+of rejected documents are measured on a sample; the cascade then tries the
+rules by rejections per cost, and a document that one rule rejects is not put
+to the later ones. The order changes the cost alone, never the verdict; which
+rule is named in ``rejected_by`` follows the order, which rests on measured
+times and may differ from run to run.
+
+Functions over array elements are interpreted, so each word meets few of them:
+one hash, and three that double the width of the hashed windows up to eight.
 
 Cases: null and empty texts have no words and fail the base rules; repeated
 rows get equal verdicts; an empty table gives an empty result and the rules in
@@ -13,27 +19,32 @@ the order given; columns whose names clash with the results are dropped.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methgrid.llm.exprs import SPACES, let, text_words, upto
+from methgrid.llm.exprs import blank_spaces, later, let, paired
 
 #: Rows at most on which costs and selectivities are measured: the first of a tenth drawn at random, so that few files are read.
 SAMPLE_ROWS = 400
+#: Longer texts are not drawn, which bounds the sample's bytes; they are judged like all others.
+SAMPLE_BYTES = 64 << 10
 SYMBOLS = r"[^#*$%&|<>]+"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 class Rule(NamedTuple):
-    """``rejects`` is an expression over the column ``text``."""
+    """``rejects`` makes an expression of the text, its facts (the base counts, ``n_lines``, and ``hashes``, one for each word) and its letters, which are picked out only for rules that say they need them."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column, Column], Column]
+    needs_letters: bool = False
 
 
-def repeated_words(words: Column, n: Column, width: int = 8) -> Column:
-    """How many words lie in windows of ``width`` words that the text has twice or more."""
+def repeated_words(hashes: Column) -> Column:
+    """How many words lie in windows of eight words that the text has twice or more."""
 
     def covered(windows: Column) -> Column:
         # (window, place) sorted by window: equal neighbours are repeats
@@ -50,67 +61,74 @@ def repeated_words(words: Column, n: Column, width: int = 8) -> Column:
         return let(
             places,
             lambda p: F.aggregate(
-                F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width)))),
+                F.transform(p, lambda x, k: F.least(F.lit(8), F.coalesce(F.get(p, k + 1) - x, F.lit(8)))),
                 F.lit(0).cast("long"),
                 lambda a, x: a + x,
             ),
         )
 
-    windows = F.transform(upto(n - (width - 1)), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width))))
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
-
-
-def duplicate_lines(text: Column) -> Column:
-    """How many lines with a word equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-
+    def doubled(x: Column, by: int, then: Callable[[Column], Column]) -> Column:
+        return let(paired(x, later(x, by), lambda a, b: F.xxhash64(a, b)), then)
 
-def symbols(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long")
+    counted = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))
+    return F.when(F.size(hashes) <= 8, F.lit(0).cast("long")).otherwise(doubled(hashes, 1, lambda x: doubled(x, 2, lambda y: doubled(y, 4, counted))))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SPACES + "+", "")).cast("long")
+def duplicate_lines(lines: Column) -> Column:
+    """How many lines with a word equal an earlier line."""
+    some = lambda x: F.filter(x, lambda y: y.rlike(r"[^\x20\x09-\x0D]"))
+    many = let(some(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return F.when(F.size(F.array_distinct(lines)) == F.size(lines), F.lit(0).cast("long")).otherwise(many)
 
 
-def base(text: Column) -> Column:
-    """A struct of the base counts and ``base_failed``."""
+def facts(text: Column) -> Column:
+    """A struct of the base counts, ``base_failed``, ``n_lines`` and ``hashes``."""
     text = F.coalesce(text, F.lit(""))
 
-    def counted(words: Column) -> Column:
-        n = F.size(words)
-        counts = F.struct(
-            n.cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            symbols(text).alias("n_symbols"),
-            duplicate_lines(text).alias("n_dup_lines"),
-            repeated_words(words, n).alias("n_repeat_words"),
+    def counted(hashes: Column, spaced: Column) -> Column:
+        n = F.size(hashes).cast("long")
+        lines = F.split(text, "\n")
+        return let(
+            repeated_words(hashes),
+            lambda repeated: F.struct(
+                n.alias("n_words"),
+                F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+                F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
+                let(lines, duplicate_lines).alias("n_dup_lines"),
+                repeated.alias("n_repeat_words"),
+                ((n < 20) | (repeated * 100 > n * 30)).alias("base_failed"),
+                F.size(lines).alias("n_lines"),
+                hashes.alias("hashes"),
+            ),
         )
-        failed = lambda c: (c["n_words"] < 20) | (c["n_repeat_words"] * 100 > c["n_words"] * 30)
-        return let(counts, lambda c: F.struct(*[c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed(c).alias("base_failed")))
 
-    return let(text_words(text), counted)
+    words = lambda spaced: F.array_remove(F.split(spaced, " "), "")
+    return let(blank_spaces(text), lambda spaced: let(F.transform(words(spaced), lambda w: F.xxhash64(w)), lambda hashes: counted(hashes, spaced)))
 
 
-def default_rules(text: Column) -> list[Rule]:
-    """Rules over the plain text; limits lie far from what prose reaches."""
-    text = F.coalesce(text, F.lit(""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+def default_rules() -> list[Rule]:
+    """Limits that lie far from what prose reaches."""
+    stuttered = lambda h: F.size(F.array_remove(paired(h, later(h, 1), lambda a, b: a == b), False))
     return [
-        Rule("symbols", symbols(text) * 100 > word_chars(text) * 5),
-        Rule("shouting", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) * 100 > letters * 50),
-        Rule("letters", letters * 100 < word_chars(text) * 50),
-        Rule("long_words", word_chars(text) > let(text_words(text), F.size) * 20),
-        Rule("duplicate_lines", let(duplicate_lines(text), lambda n: (n >= 3) & (n * 100 > F.size(F.split(text, "\n")) * 30))),
-        Rule("stutter", let(text_words(text), lambda w: F.size(F.filter(upto(F.size(w)), lambda i: F.coalesce(F.get(w, i) == F.get(w, i + 1), F.lit(False)))) * 100 > F.size(w) * 30)),
+        Rule("symbols", lambda t, x, z: x["n_symbols"] * 100 > x["word_chars"] * 5),
+        Rule("shouting", lambda t, x, z: F.length(F.regexp_replace(z, r"[^\p{Lu}]+", "")) * 100 > F.length(z) * 50, True),
+        Rule("letters", lambda t, x, z: F.length(z) * 100 < x["word_chars"] * 50, True),
+        Rule("long_words", lambda t, x, z: x["word_chars"] > x["n_words"] * 20),
+        Rule("duplicate_lines", lambda t, x, z: (x["n_dup_lines"] >= 3) & (x["n_dup_lines"] * 100 > x["n_lines"] * 30)),
+        Rule("stutter", lambda t, x, z: F.when(F.size(x["hashes"]) < 2, F.lit(False)).otherwise(stuttered(x["hashes"]) * 100 > x["n_words"] * 30)),
     ]
 
 
+def only_letters(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\p{L}]+", "")
+
+
 def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample; every rule stays."""
-    rows_ = docs.select(F.col(text)).sample(0.1, seed=7).take(sample_rows) or docs.select(F.col(text)).take(sample_rows)
-    sample = docs.sparkSession.createDataFrame(rows_, docs.select(F.col(text)).schema).persist()
+    short = docs.select(F.col(text)).filter(F.col(text).isNull() | (F.octet_length(text) <= SAMPLE_BYTES))
+    rows_ = short.sample(0.1, seed=7).take(sample_rows) or short.take(sample_rows)
+    body = F.coalesce(F.col(text), F.lit(""))
+    sample = docs.sparkSession.createDataFrame(rows_, short.schema).select(body.alias("t"), facts(body).alias("x")).persist()
     try:
         rows = sample.count()
 
@@ -125,29 +143,32 @@ def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_r
         idle = min(spent(F.lit(True))[0] for _ in range(2))
         scored = []
         for rule in rules:
-            seconds, hits = spent(rule.rejects)
+            seconds, hits = spent(cascade([rule], F.col("t"), F.col("x")).isNotNull())
             scored.append((hits / rows / max(seconds - idle, 1e-4), rule))
         return [r for _, r in sorted(scored, key=lambda x: -x[0])]
     finally:
         sample.unpersist()
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """The name of the first rule that rejects; null if none does."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        out = F.when(rule.rejects, rule.name).otherwise(out)
-    return out
+def cascade(rules: list[Rule], text: Column, known: Column, letters: Column | None = None) -> Column:
+    """The name of the first rule that rejects; null if none does. The letters are picked out once, by the first rule that needs them."""
+    if not rules:
+        return F.lit(None).cast("string")
+    if rules[0].needs_letters and letters is None:
+        return let(only_letters(text), lambda z: cascade(rules, text, known, z))
+    return F.when(rules[0].rejects(text, known, letters if letters is not None else text), rules[0].name).otherwise(cascade(rules[1:], text, known, letters))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``rejected_by`` (the first rule that rejects, ``base`` for the base rules) and ``kept``."""
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    made = (*COUNTS, "base_failed")
     rest = [c for c in docs.columns if c not in (*made, "rejected_by", "kept")]
-    ordered = order_rules(docs, rules if rules is not None else default_rules(F.col(text)), text)
-    df = docs.select(*[docs[c] for c in rest], base(docs[text]).alias("__base"))
-    df = df.withColumn("rejected_by", F.when(F.col("__base.base_failed"), "base").otherwise(cascade(ordered)))
-    return df.select(*rest, *[F.col(f"__base.{c}") for c in made], "rejected_by", F.col("rejected_by").isNull().alias("kept"))
+    ordered = order_rules(docs, rules if rules is not None else default_rules(), text)
+    body = F.coalesce(docs[text], F.lit(""))
+    first = lambda x: F.when(x["base_failed"], "base").otherwise(cascade(ordered, body, x))
+    judged = let(facts(body), lambda x: F.struct(*[x[c].alias(c) for c in made], first(x).alias("rejected_by")))
+    df = docs.select(*[docs[c] for c in rest], judged.alias("__judged"))
+    return df.select(*rest, *[F.col(f"__judged.{c}") for c in made], "__judged.rejected_by", F.col("__judged.rejected_by").isNull().alias("kept"))
 
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"

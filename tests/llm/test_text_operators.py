@@ -171,9 +171,9 @@ def test_quality_order_changes_no_verdict(spark):
     clean = " ".join(f"word{k} the quick" for k in range(40))
     rows = [(1, clean), (2, clean.upper()), (3, " ".join(f"a{k}###" for k in range(60))), (4, "\n".join(["same line of text here again"] * 3 + [f"line number {k} is new" for k in range(3)])), (5, None)]
     df = spark.createDataFrame(rows, DOCS)
-    rules = quality.default_rules(F.col("text"))
-    forward = {r.doc_id: r.kept for r in df.select("doc_id", quality.cascade(rules).isNull().alias("kept")).collect()}
-    back = {r.doc_id: r.kept for r in df.select("doc_id", quality.cascade(rules[::-1]).isNull().alias("kept")).collect()}
+    rules = quality.default_rules()
+    known = df.select("doc_id", "text", quality.facts(F.col("text")).alias("x"))
+    forward, back = ({r.doc_id: r.kept for r in known.select("doc_id", quality.cascade(x, F.coalesce("text", F.lit("")), F.col("x")).isNull().alias("kept")).collect()} for x in (rules, rules[::-1]))
     assert forward == back and forward[1] and not forward[2] and not forward[3]
     assert {r.name for r in quality.order_rules(df, rules)} == {r.name for r in rules}
 
