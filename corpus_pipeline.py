@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methgrid.llm import bpe, decontam, minhash, quality, secrets
 from methgrid.llm.queries import table, vocabulary_path
-from methgrid.llm.store import Store, keep
+from methgrid.llm.store import Store, keep, release
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, store = table(spark, sf_dir, "documents"), Store(spark)
     for k, (name, stage) in enumerate(STAGES):
+        before = len(Store.live)
         docs = store.write(stage(spark, docs, sf_dir), f"stage{k}")
+        release(before)
         if k:
             store.drop(f"stage{k - 1}")
     return docs

@@ -55,7 +55,7 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     count = lambda kind: F.size(F.filter("base_spans", lambda x: x["k"] == secrets.KINDS.index(kind))).cast("long")
     return found.select(
         "doc_id",
