@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_CODE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 SPACE = np.zeros(256, bool)
@@ -23,6 +22,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: A second, independent pair for digests of 128 bits.
+OTHER_BASE = 0xBF58476D1CE4E5B9
+OTHER_CODE = np.random.default_rng(20240207).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -56,7 +59,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``size`` bytes of text; a longer document is a batch of its own."""
     for batch in batches:
         if not len(batch):
@@ -90,12 +93,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray = BYTE_CODE, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, equal for equal bytes anywhere."""
     n = len(data)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_CODE[data] * powers(BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(U64))
+    np.cumsum(code[data] * powers(base, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts] + (ends - starts).astype(U64))
 
 
 def owners(first: np.ndarray) -> np.ndarray:

@@ -65,31 +65,53 @@ def by_id(df):
 # --- line hashing
 
 
-def test_lines(docs, texts):
-    first, want = {}, set()
-    for i in sorted(texts):
-        at = 0
-        for n, x in enumerate((texts[i] or "").split("\n")):
-            w = tuple(WORD.findall(x.translate(LOWER)))
-            if len(w) >= lines.MIN_WORDS:
-                if w in first:
-                    want.add((i, n, at, at + len(x.encode()), len(w), first[w]))
-                first.setdefault(w, i)
-            at += len(x.encode()) + 1
-    assert {tuple(r) for r in lines.repeated_units(docs).collect()} == want and want
-
-
-def test_lines_cut_from_texts(docs, texts):
-    spans = {}
-    for r in lines.repeated_units(docs).collect():
-        spans.setdefault(r.doc_id, []).append((r.start_byte, r.end_byte))
-    for i, r in by_id(lines.dedup(docs)).items():
-        raw, out, at = (texts[i] or "").encode(), b"", 0
-        for a, b in sorted(spans.get(i, [])):
-            out += raw[at:a]
-            at = b + 1
-        assert (r.text or "").encode() == out + raw[at:]
-        assert sorted((x.start_byte, x.end_byte) for x in r.removed) == sorted(spans.get(i, []))
+def slow_lines(rows, min_words, min_bytes):
+    """(row, unit_no, start, end, words, first id) of each unit to remove, for rows of id and text."""
+    units = []
+    for r, (i, t) in enumerate(rows):
+        number, now = 0, []
+        found = list(WORD.finditer(t or ""))
+        for k, m in enumerate(found):
+            now.append(m)
+            if m[0][-1] in ".!?" or k + 1 == len(found) or "\n" in t[m.end() : found[k + 1].start()]:
+                a, b = (len(t[:x].encode()) for x in (now[0].start(), m.end()))
+                units.append((r, (i is None, i or 0, number), " ".join(x[0].translate(LOWER) for x in now), a, b, len(now), i))
+                number, now = number + 1, []
+    first = {}
+    for u in units:
+        first[u[2]] = min(first.get(u[2], (u[1], u[6])), (u[1], u[6]))
+    out, run = set(), []
+    for u in [*units, None]:
+        if u and run and (u[0] != run[-1][0] or u[1][2] != run[-1][1][2] + 1) or not u or u[1] <= first[u[2]][0]:
+            if sum(x[5] for x in run) >= min_words or sum(x[4] - x[3] for x in run) >= min_bytes:
+                out |= {(x[0], x[1][2], x[3], x[4], x[5], first[x[2]][1]) for x in run}
+            run = []
+        if u and u[1] > first[u[2]][0]:
+            run.append(u)
+    return out
+
+
+@pytest.mark.parametrize(("min_words", "min_bytes"), [(20, 400), (1, 1), (9, 70)])
+def test_lines(spark, min_words, min_bytes):
+    rows = [(i, t and re.sub("(aa?|st) ", r"\1. ", t)) for i, t in corpus()]
+    rows += [rows[3], rows[3], (rows[3][0], "x. " + rows[3][1]), (None, rows[4][1]), (None, rows[4][1] + " y"), (None, None), (900, "漢字" * 200), (901, "漢字" * 200), (902, "z! " * 30 + "z")]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    want = slow_lines(rows, min_words, min_bytes)
+    got = [tuple(r) for r in lines.repeated_units(df, min_words, min_bytes).collect()]
+    assert sorted(got, key=str) == sorted(((rows[r][0], *x) for r, *x in want), key=str) and want
+
+
+def test_lines_cut_from_texts(spark):
+    long = "One passage of many words that stands in several documents and is long enough to count. It has two sentences."
+    rows = [(1, "é. " + long), (2, f"ñ before it {long.upper()}  after it. {long} é"), (2, f"ñ before it {long.upper()}  after it. {long} é"), (3, None), (None, "漢\n" + long), (4, "")]
+    got = sorted(((r.doc_id, r.text, [(x.start_byte, x.end_byte, x.first_doc_id) for x in r.removed]) for r in lines.dedup(spark.createDataFrame(rows, DOCS).repartition(3), 15).collect()), key=str)
+    for i, t, removed in got:
+        raw = next((x or "").encode() for j, x in rows if j == i)
+        left = b"".join(raw[a:b] for a, b in zip([0, *[x[1] for x in removed]], [*[x[0] for x in removed], len(raw)]))
+        assert (t or "").encode() == left
+    texts = {(i, t) for i, t, _ in got}
+    assert (None, "漢\n ") in texts and (1, rows[0][1]) in texts and (3, None) in texts and len(got) == 6
+    assert all("after it." in t and removed for i, t, removed in got if i == 2)
 
 
 # --- column-wise suffixes
@@ -128,6 +150,37 @@ def test_suffixes_of_frequent_minimizers(docs, texts, monkeypatch):
     assert {r.doc_id: bytes(r.kept) for r in parts} == {i: k for i, (k, _) in want.items()}
 
 
+def test_suffixes_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    rows = [(i, t) for i, t in corpus(31) if t]
+    rows = rows + rows[:40] + [(rows[5][0], rows[6][1] + rows[7][1]), (None, rows[3][1] + " and more of it"), (None, rows[3][1] + " and more of it"), (None, "only here " * 9), (None, None)]
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 3000)
+    order = sorted({i for i, _ in rows if i is not None})
+    rank = {i: k for k, i in enumerate(order)} | {None: len(order)}
+    seen = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            seen[b[k : k + 50]] = min(rank[i], seen.get(b[k : k + 50], 1 << 30))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen[b[k : k + 50]] < rank[i]:
+                gone[k : k + 50] = b"\1" * 50
+        want.append((str(i), bytes(x for x, y in zip(b, gone) if not y)))
+    df = spark.createDataFrame(rows[:60], DOCS).repartition(3).unionByName(spark.createDataFrame(rows[60:], DOCS))
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in suffix.remove_earlier(df).collect()) == sorted(want)
+
+
+def test_one_digest_over_different_bytes():
+    data = np.frombuffer(b"abcabdabcabdxyz", np.uint8)
+    start, size, zero = np.array([0, 3, 6, 9, 12]), np.full(5, 3), np.zeros(5, np.uint64)
+    heads, number = suffix.merged(data, start, size, zero, zero)
+    spans = [data[k : k + 3].tobytes() for k in start]
+    assert [spans[heads[n]] for n in number] == spans and len(heads) == 3
+
+
 def test_construction():
     r = random.Random(3)
     for _ in range(40):
