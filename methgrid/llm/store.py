@@ -30,9 +30,10 @@ class Store:
         self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
         Store.live.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df``, written (apart for each value of the column ``by``, if given) and read back."""
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -40,8 +41,15 @@ class Store:
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def drop_part(self, name: str, part: str) -> None:
+        """Deletes what a table written ``by`` a column holds for one value, as in ``column=value``."""
+        self._delete(f"{self.paths[name]}/{part}")
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(since: int = 0) -> None:

@@ -22,9 +22,14 @@ How a corpus becomes bounded collections, without loss:
 4. Neighbours in the suffix order with a common prefix of ``length`` are equal
    windows; the smallest id among them decides for all.
 
+Fragments merge by a digest and are then compared byte by byte; the rare two
+that differ under one digest are told apart.
+
 Cases: null texts count as empty; texts shorter than ``length`` lose nothing;
 matches never cross documents; rows with equal ids are not earlier than each
-other; an empty table gives an empty result; other columns are not carried.
+other; a null id comes after all others, and rows without an id are not earlier
+than each other; an empty table gives an empty result; other columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +55,8 @@ GRAM_SHARE = 0.52
 FREQUENT = 4096
 #: Strings that one construction takes, unless one minimizer alone has more.
 COLLECTION = 1024
+#: The rank of rows without an id: behind all others.
+LAST = np.iinfo(np.int64).max
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -191,18 +199,51 @@ def spread(packed: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents packed into chunks: the number of the chunk, ids, sizes, bytes."""
+    """Documents packed into chunks: a number that no other chunk has (it is made of the task's place, and this table is written before it is used), ids, which of them are null, sizes, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in pieces(batches, "t", CHUNK_BYTES):
             data, offsets = flat(batch.column("t"))
-            ids = batch.column("id").fill_null(-1).to_numpy().astype(np.int64)
-            number = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(ids[0] & 0xFFFF) + np.uint64(len(ids))], np.uint64)).view(np.int64)[0])
+            ids = batch.column("id").fill_null(LAST).to_numpy().astype(np.int64)
+            nulls = np.packbits(batch.column("id").is_null().to_numpy(zero_copy_only=False)).tobytes()
             yield pa.RecordBatch.from_pydict(
-                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([tight(data.tobytes())], pa.binary())}
+                {"chunk": pa.array([number], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "nulls": pa.array([nulls], pa.binary()), "sizes": pa.array([np.diff(offsets).tobytes()], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64()), "packed": pa.array([tight(data.tobytes())], pa.binary())}
             )
+            number += 1
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "chunk long, ids binary, nulls binary, sizes binary, n_bytes long, packed binary")
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes at ``a`` and at ``b`` are equal, some thousands at a time."""
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), 8192):
+        n = size[k : k + 8192]
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
+        out[k : k + 8192] = np.logical_and.reduceat(data[np.repeat(a[k : k + 8192], n) + inner] == data[np.repeat(b[k : k + 8192], n) + inner], begin)
+    return out
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "chunk long, ids binary, sizes binary, n_bytes long, packed binary")
+
+def merged(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal spans of one group as one: the first of each, in order of group, and the number of each span's."""
+    order = np.lexsort((size, digest, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1]) | (size[order][1:] != size[order][:-1])
+    number = np.cumsum(new) - 1
+    alike = same_bytes(data, start[order], start[order[new]][number], size[order])
+    if not alike.all():  # one digest over different bytes: these go by their bytes
+        for n in np.unique(number[~alike]).tolist():
+            rows = np.flatnonzero(number == n)
+            spans = [data[start[k] : start[k] + size[k]].tobytes() for k in order[rows].tolist()]
+            by_bytes = sorted(range(len(rows)), key=spans.__getitem__)
+            order[rows] = order[rows][by_bytes]
+            new[rows] = [k == 0 or spans[by_bytes[k]] != spans[by_bytes[k - 1]] for k in range(len(rows))]
+        number = np.cumsum(new) - 1
+    out = np.empty(len(order), np.int64)
+    out[order] = number
+    return order[new], out
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,13 +331,8 @@ def fragment_rows(chunks: DataFrame, replies: DataFrame, length: int, buckets: i
                 prints, start, n, often = np.repeat(prints, times), np.repeat(start, times) + inner, np.where(np.repeat(often, times), 1, np.repeat(n, times)), np.repeat(often, times)
                 digest = span_hash(data, start, start + n + (length - 1))
                 group = mix(np.where(often, digest, prints) ^ np.uint64(0x632BE59BD9B4E019))
-                order = np.lexsort((digest, group))
+                heads, number = merged(data, start, n + (length - 1), group, digest)
                 bucket = ((group >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                new = np.ones(len(order), bool)
-                new[1:] = digest[order][1:] != digest[order][:-1]
-                number = np.empty(len(order), np.int64)
-                number[order] = np.cumsum(new) - 1
-                heads = order[new]
                 first = np.full(len(heads), np.iinfo(np.int64).max)
                 np.minimum.at(first, number, ids[np.searchsorted(offsets, start, "right") - 1])
                 at = np.searchsorted(bucket[heads], np.arange(buckets + 1))
@@ -333,12 +369,7 @@ def decided(rows: DataFrame, length: int) -> DataFrame:
         size = n + length - 1
         start = np.cumsum(size) - size
         digest = np.concatenate([span_hash(body[start[k] : start[e] + size[e]], start[k : e + 1] - start[k], start[k : e + 1] - start[k] + size[k : e + 1]) for k in range(0, len(start), 8192) for e in [min(k + 8191, len(start) - 1)]])
-        order = np.lexsort((digest, group))
-        new = np.ones(len(order), bool)
-        new[1:] = (digest[order][1:] != digest[order][:-1]) | (group[order][1:] != group[order][:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        heads = order[new]
+        heads, number = merged(body, start, size, group, digest)
         least = np.full(len(heads), np.iinfo(np.int64).max)
         np.minimum.at(least, number, first)
         mask = np.zeros(len(heads), np.int64)
@@ -375,9 +406,10 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     width = min(8, math.ceil((math.log2(grams) + 10) / 8))
     prints = print_rows(chunks, length, buckets, width)
     replies = store.write(shared_prints(prints), "replies")
-    rows = store.write(fragment_rows(chunks, replies, length, 2 * buckets, width), "fragments")
+    rows = store.write(fragment_rows(chunks, replies, length, 2 * buckets, width), "fragments", "kind")
     answers = store.write(decided(rows.filter("kind = 0").drop("kind"), length), "answers")
     store.drop("replies")
+    store.drop_part("fragments", "kind=0")  # the bytes of the fragments are read no more
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "count", "least", "mask")).alias("answers"))
     places = rows.filter("kind = 1").select("chunk", F.col("count"), F.col("a").alias("start"), F.col("b").alias("number"), F.col("n").alias("windows"))
 
@@ -403,6 +435,7 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                 tails = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False][: len(gone)])) + 1
                 of = np.searchsorted(offsets, heads, "right") - 1
                 begin = np.searchsorted(of, np.arange(len(ids) + 1))
+                own_ids = pa.array(ids, mask=np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(ids)).astype(bool))
                 left = np.r_[0, np.cumsum(~gone)][offsets]
                 kept = data[~gone].tobytes()
                 base = offsets[of]
@@ -410,8 +443,22 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                 for k in range(0, len(ids), 512):
                     to = min(len(ids), k + 512)
                     yield pa.RecordBatch.from_pydict(
-                        {"id": pa.array(ids[k:to]), "n_bytes": pa.array(np.diff(offsets)[k:to], pa.int64()), "spans": spans.slice(k, to - k), "kept": pa.array([kept[a:b] for a, b in zip(left[k:to], left[k + 1 : to + 1])], pa.binary())}
+                        {"id": own_ids.slice(k, to - k), "n_bytes": pa.array(np.diff(offsets)[k:to], pa.int64()), "spans": spans.slice(k, to - k), "kept": pa.array([kept[a:b] for a, b in zip(left[k:to], left[k + 1 : to + 1])], pa.binary())}
                     )
 
     whole = chunks.join(places, "chunk", "left").join(gathered, "chunk", "left")
     return whole.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", key)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
+s AS (SELECT r, p, doc_id > min(doc_id) OVER (PARTITION BY substr(h, 2 * p + 1, 100)) AS bad FROM w),
+b AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM s WHERE bad),
+n AS (SELECT r, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS span FROM b),
+g AS (SELECT r, span, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY r, span),
+k AS (SELECT r, span, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_ FROM g),
+o AS (SELECT d.r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN d ON k.r = d.r GROUP BY d.r)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, lower(sha256(unhex(coalesce(kept, h)))) AS kept_sha256
+FROM d LEFT JOIN o ON d.r = o.r
+"""
