@@ -42,7 +42,8 @@ ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]{16,})"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
 #: What a text with any assignment of 12 characters, and with any of the other three, must hold; both are cheap to look for.
-ASSIGNED, LONG_RUN = r"""[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{12}""", "[A-Za-z0-9+/_=-]{16}"
+ASSIGNED = r"""[:=]\x20*+["']?[A-Za-z0-9+/_.=-]{12}"""
+LONG_RUN = "^(?:[A-Za-z0-9+/_=-]{0,15}+[^A-Za-z0-9+/_=-]++)*+[A-Za-z0-9+/_=-]{16}"
 #: What words in one case, single or joined by signs, never hold.
 NOT_ONE_CASE = "[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"
 #: Hex digits in groups, as in UUIDs; digits alone may be dates. Possessive, so that long tokens need no deep recursion.
@@ -70,6 +71,7 @@ BINS = 20
 ENOUGH = 20
 #: Least lengths of candidates in one case and of others that pass by their score alone where the control group is too small.
 ALONE = {True: 64, False: 32}
+SCORED = "array<struct<s:int,e:int,length_class:int,bin:int,one_case:boolean>>"
 PLACES = "array<struct<s:int,k:int,e:int,g:string>>"
 
 
@@ -80,8 +82,8 @@ def scan_of(values: Column, op: Callable[[Column, Column], Column], neutral: Col
     return F.when(F.size(values) < 2, values).otherwise(F.aggregate(widths(F.size(values)), values, lambda a, by: F.zip_with(a, shifted(a, by), op)))
 
 
-def found(text: Column, pattern: str, least: int, kind: str, hint: str) -> Column:
-    """Leftmost non-overlapping matches whose group has ``least`` characters, as structs of start, kind's place, end and group. Texts without the hint have none."""
+def found(text: Column, pattern: str, least: int, kind: str) -> Column:
+    """Leftmost non-overlapping matches whose group has ``least`` characters, as structs of start, kind's place, end and group."""
     rank = F.lit(KINDS.index(kind))
 
     def spans(found_: Column) -> Column:
@@ -92,13 +94,16 @@ def found(text: Column, pattern: str, least: int, kind: str, hint: str) -> Colum
         return let(parts, lambda z: F.filter(placed(z), lambda x: F.length(x["g"]) >= least))
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("g"), F.split(text, pattern).alias("p"))
-    return F.when(text.rlike(hint) & text.rlike(pattern), let(parts, spans)).otherwise(F.array().cast(PLACES))
+    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(F.array().cast(PLACES))
 
 
 def base_spans(text: Column) -> Column:
     """The pattern matches of a text, by start, then kind."""
     text = F.coalesce(text, F.lit(""))
-    return F.sort_array(F.concat(found(text, ASSIGN, 12, "assign", ASSIGNED), found(text, ACCESS, 18, "access", LONG_RUN), found(text, HEX, 16, "hex", LONG_RUN)))
+    none = F.array().cast(PLACES)
+    assigned = F.when(text.rlike(ASSIGNED), found(text, ASSIGN, 12, "assign")).otherwise(none)
+    rest = F.when(text.rlike(LONG_RUN), F.concat(found(text, ACCESS, 18, "access"), found(text, HEX, 16, "hex"))).otherwise(none)
+    return F.sort_array(F.concat(assigned, rest))
 
 
 def tail(z: Column) -> Column:
@@ -184,7 +189,7 @@ def candidates(text: Column, base: Column) -> Column:
         ends = scan_of(F.transform(base, lambda b: b["e"]), lambda a, b: F.greatest(a, b), F.lit(0))
         return let(ends, lambda far: let(F.transform(base, lambda b: b["s"]), lambda starts: F.filter(runs, lambda c: let(below(starts, c["e"]), lambda n: (n == 0) | (F.get(far, n - 1) <= c["s"])))))
 
-    runs = found(F.coalesce(text, F.lit("")), CANDIDATE, LENGTHS[0], "random", LONG_RUN)
+    runs = found(F.coalesce(text, F.lit("")), CANDIDATE, LENGTHS[0], "random")
     scored = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), length_class(c["g"]).alias("length_class"), bin_of(c["g"]).alias("bin"), (~c["g"].rlike(NOT_ONE_CASE)).alias("one_case"))
     return F.transform(let(runs, lambda r: F.when(F.size(r) > 0, free(r)).otherwise(r)), scored)
 
@@ -258,7 +263,8 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     rest = [c for c in (docs.columns if carry is None else carry) if c not in made]
     body = F.coalesce(docs[text], F.lit(""))
     plain = lambda base: F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["e"].alias("e")))
-    both = let(base_spans(body), lambda base: F.struct(plain(base).alias("base"), candidates(body, base).alias("candidates")))
+    some = lambda base: F.when(body.rlike(LONG_RUN), candidates(body, base)).otherwise(F.array().cast(SCORED))
+    both = let(base_spans(body), lambda base: F.struct(plain(base).alias("base"), some(base).alias("candidates")))
     detected = docs.select(*[docs[c] for c in rest], both.alias("__both"), control(body).alias("__control"))
     detected = keep(detected.select(*rest, F.col("__both.base").alias("__base"), F.col("__both.candidates").alias("__candidates"), "__control"), "detected")
     limits = fit(detected)
