@@ -29,7 +29,7 @@ def bam2pm(spark: SparkSession, args) -> None:
     prefix = args.bed_prefix if args.bed_prefix.endswith("_") else args.bed_prefix + "_"
     # BAM files that are read by contig are sorted, so duplicates can be sought start by start
     rendered = pileup.render(pileup.pileup(reads, args.methtype, args.strand, args.max_dup_reads, sorted_by_start=args.in_bam.endswith(".bam")))
-    sinks.write_sites(rendered, chroms, prefix.rstrip("_"), args.header or prefix.rpartition("/")[2], args.genome)
+    sinks.write_sites(rendered, chroms, prefix, args.header or prefix.rpartition("/")[2], args.genome)
 
 
 def _sites_and_samples(spark: SparkSession, args):
@@ -56,7 +56,8 @@ def window(spark: SparkSession, args) -> None:
 def _each_file(spark: SparkSession, args):
     for path in [*tables.list_files(spark, f"{args.in_prefix}*.bed"), *tables.list_files(spark, f"{args.in_prefix}*.bed.gz")]:
         name = path.rpartition("/")[2].removesuffix(".gz").removesuffix(".bed").removeprefix(args.in_prefix.rpartition("/")[2])
-        yield name, tables.read_sites(spark, {"": path.removesuffix(".gz").removesuffix(".bed")})
+        # in the order of the file
+        yield name, tables.read_site_files(spark, path).repartitionByRange("part", "ord").sortWithinPartitions("part", "ord")
 
 
 def pm2dss(spark: SparkSession, args) -> None:
@@ -70,7 +71,7 @@ def pm2bg(spark: SparkSession, args) -> None:
 
 
 def pm_stats(spark: SparkSession, args) -> None:
-    files = tables.read_sites(spark, {"": args.in_prefix}).filter(F.col("src").endswith(args.suffix))
+    files = tables.read_site_files(spark, f"{args.in_prefix}*{args.suffix}")
     start = args.in_prefix.rpartition("/")[2]
     rows = convert.stats(files, ["src"]).orderBy("src").collect()  # a row for each file
     shown = [[r["src"].rpartition("/")[2].removeprefix(start).removesuffix(args.suffix), r["perc"], r["meth"], r["total"], r["cpgs"]] for r in rows]
@@ -105,7 +106,7 @@ def trim_pefq(spark: SparkSession, args) -> None:
 
 
 def _process(spark: SparkSession, args, run: pipelines.Run) -> None:
-    sinks.write_sites(run.sites, chroms_of(spark, args), f"{args.out_prefix}_sites", args.out_prefix.rpartition("/")[2] + "_", args.genome)
+    sinks.write_sites(run.sites, chroms_of(spark, args), f"{args.out_prefix}_", args.out_prefix.rpartition("/")[2] + "_", args.genome)
     row = run.conversion.first()
     sinks.small_table([[row["conv_eff"], row["meth"], row["total"], row["cpg_count"]]], ["conv_eff", "meth", "total", "cpg_count"], f"{args.out_prefix}_conv.txt")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,25 @@ def track_line(prefix: str, genome: str) -> Column:
 
 
 def write_sites(rendered: DataFrame, chroms: DataFrame, path: str, prefix: str, genome: str, gz: bool = True) -> None:
-    """Rendered sites as BED text, a folder ``chrom=...`` for each chromosome of ``chroms``, each led by its track line, also where there is no site. A chromosome is dealt over several files, in order of the position."""
+    """Rendered sites as BED text, a folder ``{path}{chrom}.bed.gz`` (or ``.bed``) for each chromosome of ``chroms``, each led by its track line, also where there is no site. A chromosome is dealt over several files, in order of the position. The readers of site files take such folders as files."""
     columns = ["chrom", "start", "end", "name", "score", "strand", "thick_start", "thick_end", "rgb"]
     body = rendered.select("chrom", F.col("start").alias("at"), F.concat_ws("\t", *columns).alias("value"))
     heads = chroms.select("chrom", F.lit(None).cast("long").alias("at"), track_line(prefix, genome).alias("value"))
     ordered = heads.unionByName(body).repartitionByRange("chrom", F.col("at").asc_nulls_first()).sortWithinPartitions("chrom", F.col("at").asc_nulls_first())
-    ordered.select("chrom", "value").write.option("compression", "gzip" if gz else "none").partitionBy("chrom").text(path)
+    spark, made = rendered.sparkSession, f"{path}{uuid4().hex}"
+    ordered.select("chrom", "value").write.option("compression", "gzip" if gz else "none").partitionBy("chrom").text(made)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for found in store.listStatus(at(made)):
+            name = found.getPath().getName()
+            if name.startswith("chrom="):
+                to = at(f"{path}{unquote(name.removeprefix('chrom='))}.bed{'.gz' if gz else ''}")
+                if store.exists(to):
+                    raise FileExistsError(to.toString())
+                store.rename(found.getPath(), to)
+    finally:
+        store.delete(at(made), True)
 
 
 def write_sites_native(sites: DataFrame, path: str) -> None:

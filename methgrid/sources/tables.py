@@ -42,17 +42,23 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sites(spark: SparkSession, prefixes: dict[str, str]) -> DataFrame:
     """Site files ``{prefix}*.bed`` and ``.bed.gz`` of each sample: ``sample``, ``src``, ``chrom``, ``start``, ``end``, ``perc`` (text), ``total``. The sample of a file is that of the longest prefix that fits."""
-    bed = read_bed_with_src(spark, *[f"{p}*.bed*" for p in prefixes.values()])
+    sites = read_site_files(spark, *[f"{p}*.bed*" for p in prefixes.values()])
     sample = F.lit(None).cast("string")
     for name, prefix in sorted(prefixes.items(), key=lambda x: len(x[1])):
         sample = F.when(F.col("src").contains(prefix), name).otherwise(sample)
+    return sites.select(sample.alias("sample"), "src", "chrom", "start", "end", "perc", "total")
+
+
+def read_site_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """Site files, or folders of their parts as write_sites() makes them: ``src`` (the file or folder), ``chrom``, ``start``, ``end``, ``perc`` (text), ``total``, and ``part`` and ``ord``, which give the order inside."""
     perc, total = split_name(F.col("name"))
-    return bed.select(sample.alias("sample"), "src", "chrom", "start", "end", perc.alias("perc"), total.alias("total"))
+    source = F.regexp_replace("src", r"(\.bed(\.gz)?)/[^/]*$", "$1")
+    return read_bed_with_src(spark, *paths).select(source.alias("src"), "chrom", "start", "end", perc.alias("perc"), total.alias("total"), F.col("src").alias("part"), "ord")
 
 
 def read_bed_with_src(spark: SparkSession, *paths: str) -> DataFrame:
     cell = lambda k: F.get("cells", F.lit(k))
-    return data_lines(spark, *paths).select("src", cell(0).alias("chrom"), cell(1).cast("long").alias("start"), cell(2).cast("long").alias("end"), cell(3).alias("name"))
+    return data_lines(spark, *paths).select("src", cell(0).alias("chrom"), cell(1).cast("long").alias("start"), cell(2).cast("long").alias("end"), cell(3).alias("name"), "ord")
 
 
 def sample_files(spark: SparkSession, prefixes: dict[str, str]) -> DataFrame:

@@ -132,14 +132,34 @@ def test_commands(spark, bench, tmp_path):
     (bench / "a.bam").write_bytes(bam(SAM))
     text(bench / "hg.yaml", "hg:\n  chroms:\n    chr1: 100\n    chr3: 100\n")
     cli.main(["bam2pm", f"{bench}/a.bam", f"{bench}/pm/x", "--genome", "hg", "--infoyaml", f"{bench}/hg.yaml"])
-    made = {p.name: joined(p) for p in (bench / "pm" / "x").iterdir() if p.is_dir()}
-    assert made["chrom=chr3"] == "track name=x_chr3 description=x_chr3 useScore=0 itemRgb=On db=hg\n"
-    assert made["chrom=chr1"].splitlines()[1] == "chr1\t4\t5\t1.00-1\t0\t+\t0\t0\t210,27,27"
+    made = {p.name: joined(p) for p in (bench / "pm").iterdir() if p.is_dir()}
+    assert set(made) == {"x_chr1.bed.gz", "x_chr3.bed.gz"}
+    assert made["x_chr3.bed.gz"] == "track name=x_chr3 description=x_chr3 useScore=0 itemRgb=On db=hg\n"
+    assert made["x_chr1.bed.gz"].splitlines()[1] == "chr1\t4\t5\t1.00-1\t0\t+\t0\t0\t210,27,27"
     text(bench / "cols1.txt", "h\t1\na\t5\n")
     cli.main(["adjustcols", f"{bench}/cols", f"{bench}/new", "--cols", "1", "--adjusts", "3"])
     assert joined(bench / "new1.txt") == "h\t1\na\t8\n"
 
 
+def test_commands_chain(spark, tmp_path):
+    """What bam2pm writes, the other commands read; chromosomes whose names begin alike stay apart."""
+    (tmp_path / "a.bam").write_bytes(bam(SAM))
+    text(tmp_path / "hg.yaml", "hg:\n  chroms:\n    chr1: 30\n    chr2: 30\n    chr11: 30\n")
+    cli.main(["bam2pm", f"{tmp_path}/a.bam", f"{tmp_path}/s_", "--genome", "hg", "--infoyaml", f"{tmp_path}/hg.yaml"])
+    text(tmp_path / "samples.tsv", f"s1\t{tmp_path}/s_\n")
+    text(tmp_path / "roi.bed", "chr1\t0\t6\ta\nchr2\t0\t9\tb\nchr11\t0\t9\tc\n")
+    cli.main(["roi", f"{tmp_path}/samples.tsv", f"{tmp_path}/roi", f"{tmp_path}/roi.bed", "--min-cpgs", "1"])
+    assert joined(tmp_path / "roi") == "chrom\tstart\tend\tname\ts1\nchr1\t0\t6\ta\t1.000\nchr2\t0\t9\tb\t1.000\n"
+    cli.main(["window", f"{tmp_path}/samples.tsv", f"{tmp_path}/win", "--genome", "hg", "--infoyaml", f"{tmp_path}/hg.yaml", "--window-size", "30", "--min-cpgs", "1"])
+    assert joined(tmp_path / "win") == "chrom\tstart\tend\tname\ts1\nchr1\t1\t30\t\t0.500\nchr2\t1\t30\t\t1.000\n"
+    cli.main(["pm2dss", f"{tmp_path}/s_", f"{tmp_path}/d_"])
+    assert joined(tmp_path / "d_chr1.dss") == "chr\tpos\tN\tX\nchr1\t4\t1\t1\nchr1\t5\t1\t1\nchr1\t7\t1\t0\nchr1\t8\t1\t0\n"
+    cli.main(["pm2bg", f"{tmp_path}/s_", f"{tmp_path}/d_"])
+    assert joined(tmp_path / "d_chr2.bg") == "chr2\t4\t5\t1.00\nchr2\t5\t6\t1.00\n" and "chr1" not in joined(tmp_path / "d_chr11.bg")
+    cli.main(["pm_stats", f"{tmp_path}/s_", f"{tmp_path}/stats.txt"])
+    assert (tmp_path / "stats.txt").read_text().splitlines()[1:] == ["chr1\t0.5\t2\t4\t4", "chr2\t1\t2\t2\t2"]
+
+
 def test_pipeline_with_an_aligner(spark, tmp_path):
     path = text(tmp_path / "a.fq", "".join(f"@r{k} 1:N:0:\n{'ACGT' * 20}\n+\n{'I' * 80}\n" for k in range(4)))
 
