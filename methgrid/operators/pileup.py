@@ -20,6 +20,8 @@ CONTEXTS = {
     "CHG": "Yy",
     "CHH": "Zz",
 }
+#: Reads of a file in which duplicates are sought together.
+BLOCK_ROWS = 1_000_000
 STRANDS = {"positive": "+", "negative": "-", "both": None}
 # Track colours by share of methylated calls.
 BLACK, BLUE, GREEN, RED = "0,0,0", "27,74,210", "27,210,57", "210,27,27"
@@ -43,23 +45,36 @@ def strand_filter(reads: DataFrame, strand: str = "both") -> DataFrame:
     return reads if sign is None else reads.filter(F.col("strand") == sign)
 
 
-def dedup_runs(reads: DataFrame, max_dup: int = 1, sorted_by_start: bool = False) -> DataFrame:
+def dedup_runs(reads: DataFrame, max_dup: int = 1, sorted_by_start: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Of each run of consecutive reads with one start, strand and mate start, the first ``max_dup``.
 
-    In a file that is sorted by start a run never leaves its start, so the
-    windows can be dealt by start as well, which spreads a chromosome over all
-    tasks.
+    Runs are sought inside blocks of the file, so that a chromosome is spread
+    over all tasks; a row for each block then tells how much of its first run
+    lies in the blocks before. In a file that is sorted by start a run never
+    leaves its start, so that the starts serve as blocks and nothing is carried
+    over.
     """
-    key = ["chrom", "start"] if sorted_by_start else ["chrom"]
-    by_order = Window.partitionBy(*key).orderBy("ord")
-    same = F.lit(True)
-    for c in ("start", "strand", "mpos"):
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(by_order))
-    first = F.lag("ord").over(by_order).isNull()
-    marked = reads.withColumn("__new", F.when(first | ~same, 1).otherwise(0))
-    marked = marked.withColumn("__run", F.sum("__new").over(by_order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*key, "__run").orderBy("ord"))
-    return marked.withColumn("__place", place).filter(F.col("__place") <= max_dup).select(*reads.columns)
+    key = F.struct("start", "strand", "mpos")
+    block = F.col("start") if sorted_by_start else F.floor(F.col("ord") / block_rows)
+    blocked = reads.withColumn("__block", block).withColumn("__key", key)
+    inside = Window.partitionBy("chrom", "__block").orderBy("ord")
+    new = F.lag("ord").over(inside).isNull() | ~F.col("__key").eqNullSafe(F.lag("__key").over(inside))
+    marked = blocked.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = marked.withColumn("__place", F.row_number().over(Window.partitionBy("chrom", "__block", "__run").orderBy("ord")))
+    if not sorted_by_start:
+        placed = placed.join(carried(placed), ["chrom", "__block"]).withColumn("__place", F.col("__place") + F.when(F.col("__run") == 1, F.col("__carry")).otherwise(0))
+    return placed.filter(F.col("__place") <= max_dup).select(*reads.columns)
+
+
+def carried(placed: DataFrame) -> DataFrame:
+    """For each chromosome and block how many reads of its first run lie in the blocks before it."""
+    blocks = placed.groupBy("chrom", "__block").agg(F.min_by("__key", "ord").alias("first"), F.max_by("__key", "ord").alias("last"), F.max("__run").alias("runs"), F.max_by("__place", "ord").cast("long").alias("trailing"))
+    in_order = Window.partitionBy("chrom").orderBy("__block")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    linked = blocks.withColumn("continues", F.lag("__block").over(in_order).isNotNull() & F.col("first").eqNullSafe(F.lag("last").over(in_order))).withColumn("sum", F.coalesce(F.sum("trailing").over(before), F.lit(0)))
+    # a run reaches back over blocks that are one run and continue the one before; the sum where it begins is the largest of those at other blocks
+    begins = F.max(F.when(~((F.col("runs") == 1) & F.col("continues")), F.col("sum"))).over(before)
+    return linked.select("chrom", "__block", F.when(F.col("continues"), F.col("sum") - begins).otherwise(0).alias("__carry"))
 
 
 def called_bases(reads: DataFrame, context: str = "CG") -> DataFrame:
@@ -95,10 +110,15 @@ def render(sites: DataFrame) -> DataFrame:
     )
 
 
-def merge_sorted(*parts: DataFrame) -> DataFrame:
-    """Aligned reads of several files in one order: by chromosome, start, file and place in the file."""
+def merge(*parts: DataFrame) -> DataFrame:
+    """Aligned reads of several files, with ``part``, the number of the file."""
     out = None
     for k, part in enumerate(parts):
         part = part.withColumn("part", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    return out.orderBy("chrom", "start", "part", "ord")
+    return out
+
+
+def merge_sorted(*parts: DataFrame) -> DataFrame:
+    """Aligned reads of several files in one order: by chromosome, start, file and place in the file."""
+    return merge(*parts).orderBy("chrom", "start", "part", "ord")

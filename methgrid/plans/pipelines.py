@@ -31,13 +31,13 @@ class Run:
 
 
 def finish(trimmed: DataFrame, align: Aligner, context: str, strand: str, max_dup: int, conv_chrom: str) -> Run:
-    aligned = pileup.merge_sorted(*[align(trimmed.filter(trimmed["route"] == route)) for route in ("noadap", "trimmed")])
+    routes = pileup.merge(*[align(trimmed.filter(trimmed["route"] == route)) for route in ("noadap", "trimmed")])
     # both routes have their own numbers: part and number together tell the order inside a start
-    numbered = aligned.withColumn("ord", F.col("ord") * 2 + F.col("part")).drop("part")
+    numbered = routes.withColumn("ord", F.col("ord") * 2 + F.col("part")).drop("part")
     piled = pileup.pileup(numbered, context, strand, max_dup, sorted_by_start=True)
     rendered = pileup.render(piled)
     sites = rendered.select("chrom", "start", "end", F.element_at(F.split("name", "-"), 1).alias("perc"), F.element_at(F.split("name", "-"), 2).cast("long").alias("total"))
-    return Run(trimmed, numbered, rendered, convert.conversion_efficiency(sites, conv_chrom))
+    return Run(trimmed, numbered.orderBy("chrom", "start", "ord"), rendered, convert.conversion_efficiency(sites, conv_chrom))
 
 
 def process_se(spark: SparkSession, path: str, align: Aligner, adapter: str = fastq.ADAPTER, chew: int = 10, min_read: int = 35, context: str = "CG", strand: str = "both", max_dup: int = 1, conv_chrom: str = "chrM") -> Run:

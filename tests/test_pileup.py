@@ -60,3 +60,27 @@ def test_two_decimals_as_printf(spark):
     pairs = [(m, t) for t in range(1, 121) for m in range(t + 1)]
     df = spark.createDataFrame([("c", k, m, t) for k, (m, t) in enumerate(pairs)], "chrom string, pos long, meth long, total long")
     assert all(r.name == f"{pairs[r.start][0] / pairs[r.start][1]:.2f}-{pairs[r.start][1]}" for r in pileup.render(df).collect())
+
+
+def test_runs_over_blocks(spark):
+    """Runs that span one border, several blocks, or end at a border; chromosomes that share blocks; both directions of starts."""
+    import random
+
+    r = random.Random(4)
+    rows, n = [], 0
+    for chrom in ("a", "b"):
+        while n < (150 if chrom == "a" else 330):
+            start, strand, mpos = r.randrange(3), r.choice("+-"), r.choice([-1, 5, None])
+            for _ in range(r.choice([1, 1, 2, 3, 25])):
+                rows.append((chrom, start, mpos, strand, "X", n))
+                n += r.choice([1, 1, 2])
+    reads = spark.createDataFrame(rows, "chrom string, start long, mpos long, strand string, xm string, ord long").repartition(5)
+    for max_dup in (1, 2, 9):
+        want, run = [], {}
+        for row in rows:
+            key, (last, k) = row[1:4], run.get(row[0], (None, 0))
+            run[row[0]] = (key, k + 1 if key == last else 1)
+            if run[row[0]][1] <= max_dup:
+                want.append(row[5])
+        for block_rows in (1, 3, 10, 64, 1000):
+            assert sorted(x.ord for x in pileup.dedup_runs(reads, max_dup, block_rows=block_rows).collect()) == want
