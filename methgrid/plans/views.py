@@ -34,8 +34,8 @@ VIEWS = {
     "mask": f"""
         SELECT {CHROM.format('s_suppkey')} AS chrom, s_suppkey * 60 AS start, s_suppkey * 60 + 30 AS "end" FROM {{supplier}}""",
     "chroms": f"""
-        SELECT {CHROM.format('n')} AS chrom, cast(max(n) * 7 + 14000 as bigint) AS length, cast(min(n) as bigint) AS ord
-        FROM (SELECT l_suppkey AS n FROM {{lineitem}} WHERE l_suppkey < 5) t GROUP BY {CHROM.format('n')}""",
+        SELECT {CHROM.format('l_suppkey')} AS chrom, cast(max(l_partkey) * 7 + 1 as bigint) AS length, cast(min(l_suppkey % 5) as bigint) AS ord
+        FROM {{lineitem}} GROUP BY {CHROM.format('l_suppkey')}""",
     "fastq": """
         SELECT ord, src, header, third,
                CASE WHEN ord % 3 = 0 THEN concat(substr(seq, 1, 20 + cast(ord % 60 as int)), 'AGATCGGAAG', substr(seq, 1, 60 - cast(ord % 60 as int)))
