@@ -17,6 +17,7 @@ results are dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,6 +33,7 @@ STOP_WORDS = frozenset(
     "el los las una del y con su al lo más o pero".split()
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>", re.S)
+UNFINISHED = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object canvas".split())
 BLOCK = frozenset(
@@ -119,9 +121,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
             _, aside, article = stack[-1] if stack else ("", False, False)
             names = {x for a in ATTRIBUTE.finditer(m[3]) for x in re.split("[^a-z]+", (a[2] or a[3] or a[4] or "").lower())} if m[3] else ()
             article = article or name == "article" or name == "main"
-            aside = aside or name in ASIDE or name in FRAME and not article or name == "body" and False or name not in ("body", "html", "main") and not ASIDE_NAME.isdisjoint(names)
+            aside = aside or name in ASIDE or name in FRAME and not article or name not in ("body", "html", "main") and not ASIDE_NAME.isdisjoint(names)
             stack.append((name, aside, article))
-    take(page[at:] if not page[at:].startswith("<") else "")
+    take(UNFINISHED.sub("", page[at:]))
     end()
     return out
 
@@ -145,8 +147,9 @@ def main_blocks(page: str) -> list[str]:
     for k, (text, tag, _, article, _) in enumerate(found):
         label = labels[k]
         if label is None:
-            before = max((d for d in decided[article] if d < k), default=None)
-            after = min((d for d in decided[article] if d > k), default=None)
+            place = bisect_left(decided[article], k)
+            before = decided[article][place - 1] if place else None
+            after = decided[article][place] if place < len(decided[article]) else None
             if before is None or after is None:
                 near = after if before is None else before
             elif tag in HEADING:
