@@ -10,9 +10,14 @@ could join two components is compared, and no bucket's pairs are listed: a
 block gives at most one link for each component that it joins. Every link is
 confirmed on the full shingle sets.
 
+Rows are told apart by a number of their own, not by their key.
+
 Cases: null and empty texts, and texts of white space, have no shingles and
-stay alone; repeated rows are copies of each other; an empty table gives an
-empty result; columns whose names clash with the results are dropped.
+stay alone; repeated rows are copies of each other, and rows of one key and
+different texts are compared like any others; a row without a key links like
+any other, but the smallest key is one that is there: a component that has none
+has a null id, and all its rows are kept; an empty table gives an empty result;
+columns whose names clash with the results are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methgrid.llm.graph import components
@@ -103,8 +108,8 @@ class Bands:
         return mix(out + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
-def sketch(docs: DataFrame, bands: Bands, width: int, key: str, text: str) -> DataFrame:
-    """For each row: id, n_shingles, a 128-bit digest of the set (``d1``, ``d2``), buckets, signature, and the packed text."""
+def sketch(docs: DataFrame, bands: Bands, width: int, row: Column, key: str, text: str) -> DataFrame:
+    """For each row: id (its number ``row``), key, n_shingles, a 128-bit digest of the set (``d1``, ``d2``), buckets, signature, and the packed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
@@ -119,13 +124,14 @@ def sketch(docs: DataFrame, bands: Bands, width: int, key: str, text: str) -> Da
             digest = [(s[where[1:]] - s[where[:-1]]).view(np.int64) for s in sums]
             ids = batch.column("id").to_pylist()
             empty = n == 0  # alone, each under a digest of its own
-            digest[0][empty], digest[1][empty] = [i or 0 for i, e in zip(ids, empty) if e], -1
+            digest[0][empty], digest[1][empty] = [i for i, e in zip(ids, empty) if e], -1
             of = np.full(len(ids), -1)
             of[full] = np.arange(len(full))
             signature = (minima & np.uint64(255)).astype(np.uint8)
             raw = data.tobytes()
             rows = {
                 "id": batch.column("id"),
+                "key": batch.column("key"),
                 "n_shingles": pa.array(n, pa.int64()),
                 "d1": pa.array(digest[0], pa.int64()),
                 "d2": pa.array(digest[1], pa.int64()),
@@ -136,8 +142,8 @@ def sketch(docs: DataFrame, bands: Bands, width: int, key: str, text: str) -> Da
             }
             yield pa.RecordBatch.from_pydict(rows)
 
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return slim.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, buckets array<long>, signature binary, packed binary, size long")
+    slim = docs.select(row.alias("id"), F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
+    return slim.mapInArrow(run, "id long, key long, n_shingles long, d1 long, d2 long, buckets array<long>, signature binary, packed binary, size long")
 
 
 def unpacked(packed: list[bytes], sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,9 +258,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     spark = docs.sparkSession
     store = Store(spark)
     bands = Bands(percent / 100)
-    made = ("n_shingles", "component_id", "kept")
-    sketches = store.write(sketch(docs, bands, width, key, text), "sketches")
-    texts = store.write(sketches.groupBy("d1", "d2").agg(F.min("id").alias("id")), "texts")  # one document of each set
+    made = ("n_shingles", "component_id", "kept", "__row")
+    rest = [c for c in docs.columns if c not in (key, text, *made)]
+    if rest:
+        docs = store.write(docs.select(key, text, *rest).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    row = F.col("__row") if rest else F.monotonically_increasing_id()
+    sketches = store.write(sketch(docs, bands, width, row, key, text), "sketches")  # written, so that the numbers stay what they are
+    texts = store.write(sketches.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("key").alias("key")), "texts")  # one document of each set
     own = sketches.join(texts.select("id"), "id", "left_semi")
     slots = own.select("id", F.explode("buckets").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
@@ -281,8 +291,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     final = labels.select("node", "component").join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
     labels = store.write(final.unionByName(alone), "all-labels")
-    of_text = texts.join(labels, texts["id"] == labels["node"], "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = sketches.select(F.col("id"), "n_shingles", "d1", "d2").join(of_text, ["d1", "d2"]).select(F.col("id").alias(key), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    of_text = texts.join(labels, texts["id"] == labels["node"], "left").select("d1", "d2", "key", F.coalesce("component", "id").alias("component"))
+    smallest = of_text.groupBy("component").agg(F.min("key").alias("component_id"))
+    of_text = of_text.select("d1", "d2", "component").join(smallest, "component").select("d1", "d2", "component_id")
+    out = sketches.select("id", "key", "n_shingles", "d1", "d2").join(of_text, ["d1", "d2"])
+    out = out.select(F.col("id").alias("__number"), F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
     store.drop("slots", "shared", "packed", "members", "more", "edges", "labels", "joins", "stars-a", "stars-b", "joined-a", "joined-b")
-    rest = [c for c in docs.columns if c not in (key, text, *made)]
-    return out if not rest else docs.select(key, *rest).join(out.dropDuplicates([key]), key)
+    if not rest:
+        return out.drop("__number")
+    return docs.select(key, "__row", *rest).join(out.select(F.col("__number").alias("__row"), *made[:3]), "__row").drop("__row")
+
+
+def oracle_sql(percent: int, width: int) -> str:
+    """The same in DuckDB's SQL, by counting the common shingles of all pairs that have one."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {width} THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(0, len(words) - {width - 1}), lambda i: array_to_string(words[i + 1 : i + {width}], ' ')) END) AS g FROM w) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * c.n >= {percent} * (x.n + y.n - c.n)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.top FROM r JOIN e ON r.node = e.u AND r.top < e.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.top) AS component_id, d.doc_id = min(r.top) AS kept
+FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""

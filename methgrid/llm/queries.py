@@ -75,4 +75,4 @@ def op10_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_hashing, op2_suffix_columns, op3_quality_cascade, op4_jump_sharding, op5_url_language_model, op6_spaced_seeds, op7_secret_battery, op8_html_two_pass, op9_bpe_speculate, op10_minhash_components)}
-ORACLES: dict[str, str] = {"op1_line_hashing": lines.ORACLE_SQL, "op2_suffix_columns": suffix.ORACLE_SQL, "op3_quality_cascade": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_line_hashing": lines.ORACLE_SQL, "op2_suffix_columns": suffix.ORACLE_SQL, "op3_quality_cascade": quality.ORACLE_SQL, "op4_jump_sharding": sharding.oracle_sql(SHARDS), "op10_minhash_components": minhash.oracle_sql(85, 3)}

@@ -73,3 +73,24 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     inside = Window.partitionBy("__block", "shard").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     placed = dealt.withColumn("__place", F.row_number().over(inside).cast("long"))
     return placed.join(starts, ["__block", "shard"]).select(*[F.col(c) for c in rest], "size", "text_crc32", "shard", (F.col("__start") + F.col("__place") - 1).alias("slot"), "grown_shard")
+
+
+def oracle_sql(shards: int) -> str:
+    """The same in DuckDB's SQL, for unique whole-number ids."""
+    jumped = """(WITH RECURSIVE j(key, last, next) AS (
+        SELECT (doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616, -1::BIGINT, 0::BIGINT
+        UNION ALL
+        SELECT k, next, floor((next + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+        FROM (SELECT (key * 2862933555777941757 + 1) % 18446744073709551616 AS k, next FROM j WHERE next < SHARDS) s)
+        SELECT max(last)::INTEGER FROM j)"""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH RECURSIVE crc(n, c, k) AS (SELECT n, n, 0 FROM range(256) t(n) UNION ALL SELECT n, {step}, k + 1 FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+hexed AS (SELECT doc_id, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, (length(h) // 2 + 8)::BIGINT AS size,
+    xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(h, '..'), lambda x: (16 * (strpos('0123456789ABCDEF', x[1]) - 1) + strpos('0123456789ABCDEF', x[2]) - 1)::BIGINT),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM hexed, crc_table),
+placed AS (SELECT doc_id, size, text_crc32, {jumped.replace('SHARDS', str(shards))} AS shard, {jumped.replace('SHARDS', str(shards + 1))} AS grown_shard FROM sized)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard FROM placed
+"""

@@ -452,8 +452,10 @@ def remove_earlier(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
-s AS (SELECT r, p, doc_id > min(doc_id) OVER (PARTITION BY substr(h, 2 * p + 1, 100)) AS bad FROM w),
+x AS (SELECT r, doc_id, length(h) // 2 AS n, h, unnest(range(0, (length(h) // 2 + 50) // 100)) AS k FROM d WHERE length(h) >= 100),
+y AS (SELECT r, doc_id, k, n, substr(h, 200 * k + 1, 298) AS part FROM x),
+w AS (SELECT r, doc_id, k, part, unnest(range(0, least(100, n - 49 - 100 * k))) AS i FROM y),
+s AS (SELECT r, 100 * k + i AS p, doc_id > min(doc_id) OVER (PARTITION BY substr(part, 2 * i + 1, 100)) AS bad FROM w),
 b AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM s WHERE bad),
 n AS (SELECT r, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS span FROM b),
 g AS (SELECT r, span, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY r, span),

@@ -530,6 +530,17 @@ def test_repeated_rows_and_other_columns(spark):
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
+@pytest.mark.parametrize("extra", [False, True])
+def test_near_duplicates_of_null_and_repeated_keys(spark, extra):
+    a, b, c, d = family(1, 50, 0, 1)[0], family(1, 50, 0, 2)[0], family(1, 50, 0, 3)[0], family(1, 50, 0, 4)[0]
+    rows = [(None, a), (5, a + " end"), (None, b), (None, b + " end"), (7, c), (7, d), (9, d), (3, None), (None, None), (None, "")]
+    want = [(None, 5, False), (5, 5, True), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (9, 7, False), (3, 3, True), (None, None, True), (None, None, True)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = minhash.near_duplicates(df.withColumn("source", F.lit("x")) if extra else df)
+    assert got.columns == ["doc_id", *["source"] * extra, "n_shingles", "component_id", "kept"]
+    assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in got.collect()) == sorted(map(str, want))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 50)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
