@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.operators import convert, fastq, genome, logs, motif, pileup, regions, tabular
 from methgrid.plans import pipelines
 from methgrid.sources import alignments, sinks, tables
 from methgrid.sources.fastq import read_fastq, write_fastq
+from methgrid.sources.shared import read_text
 
 
 def session() -> SparkSession:
@@ -19,7 +20,7 @@ def session() -> SparkSession:
 
 
 def chroms_of(spark: SparkSession, args):
-    return tables.catalog_chroms(spark, tables.read_catalog(args.infoyaml), args.genome)
+    return tables.catalog_chroms(spark, tables.read_catalog(spark, args.infoyaml), args.genome)
 
 
 def bam2pm(spark: SparkSession, args) -> None:
@@ -75,13 +76,13 @@ def pm_stats(spark: SparkSession, args) -> None:
     start = args.in_prefix.rpartition("/")[2]
     rows = convert.stats(files, ["src"]).orderBy("src").collect()  # a row for each file
     shown = [[r["src"].rpartition("/")[2].removeprefix(start).removesuffix(args.suffix), r["perc"], r["meth"], r["total"], r["cpgs"]] for r in rows]
-    sinks.small_table(shown, ["name", "percentage", "methylated_reads", "total_reads", "cpg_count"], args.out_file)
+    sinks.small_table(spark, shown, ["name", "percentage", "methylated_reads", "total_reads", "cpg_count"], args.out_file)
 
 
 def add_genome(spark: SparkSession, args) -> None:
-    catalog = tables.read_catalog(args.infoyaml)
+    catalog = tables.read_catalog(spark, args.infoyaml)
     sizes = tables.read_chrom_sizes(spark, args.sizes)
-    tables.write_catalog(genome.add_genome(catalog, args.genome, args.fasta, args.index, sizes, args.main, args.force), args.infoyaml)
+    tables.write_catalog(spark, genome.add_genome(catalog, args.genome, args.fasta, args.index, sizes, args.main, args.force), args.infoyaml)
 
 
 def motif_command(spark: SparkSession, args) -> None:
@@ -91,7 +92,7 @@ def motif_command(spark: SparkSession, args) -> None:
     n = args.seq.upper().count("Y")
     rows = [[name, *motif.motif_summary(read_fastq(spark, path), args.seq).first()] for path, name in files]
     header = ["Name", "Avg_Total", *[f"Avg_CpG_{k}" for k in range(1, n + 1)], *[x for k in range(1, n + 1) for x in (f"CpG_meth_{k}", f"CpG_total_{k}")]]
-    sinks.small_table(rows, header, args.out_table)
+    sinks.small_table(spark, rows, header, args.out_table)
 
 
 def trim_sefq(spark: SparkSession, args) -> None:
@@ -105,31 +106,43 @@ def trim_pefq(spark: SparkSession, args) -> None:
         write_fastq(own, f"{args.out_prefix}_{label}", gz=True, by="route")
 
 
-def _process(spark: SparkSession, args, run: pipelines.Run) -> None:
+def _summary(spark: SparkSession, noadap: str, trimmed: str, conversion: DataFrame | None, path: str) -> None:
+    """Two lines of heads and one of values: the metrics of both runs, then the columns of ``conversion``."""
+    table = logs.summarize_logs(tables.read_log(spark, noadap), tables.read_log(spark, trimmed), conversion)
+    heads = ["Total bases of uniquely mapped reads", "", "Mappability", "", "mCG", "", "mCHG", "", "mCHH", *([""] + conversion.columns if conversion is not None else [])]
+    sinks.small_table(spark, [["noadap", "trimmed"] * 5, list(table.first())], heads, path)
+
+
+def _process(spark: SparkSession, args, align: pipelines.Aligner, run: pipelines.Run) -> None:
+    """Sites, the control's conversion, and the summary of the aligner's logs where the command names its {log}."""
     sinks.write_sites(run.sites, chroms_of(spark, args), f"{args.out_prefix}_", args.out_prefix.rpartition("/")[2] + "_", args.genome)
-    row = run.conversion.first()
-    sinks.small_table([[row["conv_eff"], row["meth"], row["total"], row["cpg_count"]]], ["conv_eff", "meth", "total", "cpg_count"], f"{args.out_prefix}_conv.txt")
+    conversion = spark.createDataFrame(run.conversion.collect(), run.conversion.schema)  # one row
+    sinks.small_table(spark, [list(r) for r in conversion.collect()], conversion.columns, f"{args.out_prefix}_conv.txt")
+    if align.logs:
+        _summary(spark, *align.logs, conversion, f"{args.out_prefix}_summary.txt")
+
+
+def aligner_of(spark: SparkSession, args) -> pipelines.Aligner:
+    """A command that names its {fastq} and {sam} files runs once a route; any other reads its input and writes its output on the executors."""
+    return pipelines.external_aligner(spark, args.aligner, args.shared) if "{fastq}" in args.aligner else pipelines.piped_aligner(spark, args.aligner)
 
 
 def process_se(spark: SparkSession, args) -> None:
-    align = pipelines.external_aligner(spark, args.aligner, args.shared)
-    _process(spark, args, pipelines.process_se(spark, args.in_fastq, align, args.adapter, args.chew, args.min_read, args.methtype, args.strand, args.max_dup_reads, args.conv_chr))
+    align = aligner_of(spark, args)
+    _process(spark, args, align, pipelines.process_se(spark, args.in_fastq, align, args.adapter, args.chew, args.min_read, args.methtype, args.strand, args.max_dup_reads, args.conv_chr))
 
 
 def process_pe(spark: SparkSession, args) -> None:
-    align = pipelines.external_aligner(spark, args.aligner, args.shared)
-    _process(spark, args, pipelines.process_pe(spark, args.in_for, args.in_rev, align, args.for_adap, args.rev_adap, args.chew, args.min_read, args.methtype, args.strand, args.max_dup_reads, args.conv_chr))
+    align = aligner_of(spark, args)
+    _process(spark, args, align, pipelines.process_pe(spark, args.in_for, args.in_rev, align, args.for_adap, args.rev_adap, args.chew, args.min_read, args.methtype, args.strand, args.max_dup_reads, args.conv_chr))
 
 
 def sumlogs(spark: SparkSession, args) -> None:
     conv = None
     if args.conv:
-        lines = [x.rstrip("\n").split("\t") for x in open(args.conv, encoding="utf-8")][:2]
+        lines = [x.split("\t") for x in read_text(spark, args.conv).splitlines()[:2]]
         conv = spark.createDataFrame([tuple(lines[1])], ", ".join(f"`{c}` string" for c in lines[0]))
-    row = logs.summarize_logs(tables.read_log(spark, args.noadap_log), tables.read_log(spark, args.adaptrim_log), conv).first()
-    first = ["Total bases of uniquely mapped reads", "", "Mappability", "", "mCG", "", "mCHG", "", "mCHH", *([""] + lines[0] if args.conv else [])]
-    with open(args.out, "w", encoding="utf-8") as f:
-        f.write("\t".join(first) + "\n" + "\t".join(["noadap", "trimmed"] * 5) + "\n" + "\t".join("NA" if x is None else str(x) for x in row) + "\n")
+    _summary(spark, args.noadap_log, args.adaptrim_log, conv, args.out)
 
 
 def adjustcols(spark: SparkSession, args) -> None:

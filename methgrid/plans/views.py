@@ -54,12 +54,12 @@ VIEWS = {
         FROM (SELECT event_id, translate(concat(md5(concat('x', cast(event_id as varchar(20)))), md5(concat('y', cast(event_id as varchar(20)))), md5(concat('z', cast(event_id as varchar(20))))), '0123456789abcdef', 'ACGTACGTACGTACGN') AS md
               FROM {events}) t""",
     "logs": """
-        SELECT run, value FROM (VALUES
-            ('noadap', 1, 'Read filename : noadap: reads_noadap.fq'), ('noadap', 2, '[x] Mappability of reads = 41.5%'),
-            ('noadap', 3, 'Total bases of uniquely mapped reads after all : 240'), ('noadap', 4, '  mCG  is 100.0000%'), ('noadap', 5, '  mCHG is 33.333%'), ('noadap', 6, '  mCHH is 50.000%'),
-            ('trimmed', 1, 'Read filename : trimmed: reads_trimmed.fq'), ('trimmed', 2, '[x] Mappability of reads = 100.0%'),
-            ('trimmed', 3, 'Total bases of uniquely mapped reads after all : 41'), ('trimmed', 4, '  mCG  is 50.000%'), ('trimmed', 5, '  mCHG is 0.000%'), ('trimmed', 6, '  mCHH is 5.882%')
-        ) t(run, n, value)""",
+        SELECT run, concat('[2020-01-01 00:00:00] ', line) AS value FROM (VALUES
+            ('noadap', 1, 'Read filename: reads_noadap.fq'), ('noadap', 2, 'Mappability = 41.5%'),
+            ('noadap', 3, 'Total bases of uniquely mapped reads :     240'), ('noadap', 4, ' mCG  100.000%'), ('noadap', 5, ' mCHG 33.333%'), ('noadap', 6, ' mCHH 50.000%'),
+            ('trimmed', 1, 'Read filename: reads_trimmed.fq'), ('trimmed', 2, 'Mappability = 100.0%'),
+            ('trimmed', 3, 'Total bases of uniquely mapped reads :      41'), ('trimmed', 4, ' mCG  50.000%'), ('trimmed', 5, ' mCHG 0.000%'), ('trimmed', 6, ' mCHH 5.882%')
+        ) t(run, n, line)""",
     "sizes": """
         SELECT concat(CASE WHEN n_nationkey % 3 = 0 THEN 'chrUn_' ELSE 'chr' END, cast(n_nationkey as varchar(9))) AS chrom, n_nationkey * 1000 + 5 AS length FROM {nation}""",
     "lines": """

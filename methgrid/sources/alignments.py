@@ -23,11 +23,15 @@ def require_tags(reads: DataFrame) -> DataFrame:
 def read_sam(spark: SparkSession, *paths: str, chroms: list[str] | None = None) -> DataFrame:
     """Placed reads of SAM text: contig, 0-based start and mate start (-1 without), strand (first sign of XO), calls (XM), and their number in the file."""
     lines = numbered_lines(spark, *paths).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    return sam_reads(lines.select("src", F.col("line").alias("ord"), "value"), chroms)
+
+
+def sam_reads(lines: DataFrame, chroms: list[str] | None = None) -> DataFrame:
+    """Placed reads of SAM lines (``value``); other columns stay as they are."""
     cells = F.split("value", "\t")
     tag = lambda name: F.regexp_extract("value", rf"\t{name}:Z:([^\t]*)", 1)
     reads = lines.select(
-        "src",
-        F.col("line").alias("ord"),
+        *[c for c in lines.columns if c != "value"],
         F.get(cells, F.lit(2)).alias("chrom"),
         (F.get(cells, F.lit(3)).cast("long") - 1).alias("start"),
         (F.get(cells, F.lit(7)).cast("long") - 1).alias("mpos"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from urllib.parse import unquote
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from methgrid.sources.shared import write_text
+
 
 def write_table(df: DataFrame, path: str, header: bool = True, missing: str = "NA", gz: bool = False, decimals: int | None = None) -> None:
     """Tab-separated text; nulls as ``missing``, fractions to ``decimals`` if given."""
@@ -47,9 +49,7 @@ def write_sites_native(sites: DataFrame, path: str) -> None:
     sites.write.partitionBy("sample", "chrom").parquet(path)
 
 
-def small_table(rows: list[list], header: list[str], path: str) -> None:
-    """A table of few rows (a line for each file or run) as one local text file; fractions with twelve significant digits."""
+def small_table(spark: SparkSession, rows: list[list], header: list[str], path: str) -> None:
+    """A table of few rows (a line for each file or run) as one text file; fractions with twelve significant digits."""
     shown = lambda x: "NA" if x is None else f"{x:.12g}" if isinstance(x, float) else str(x)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\t".join(header) + "\n")
-        f.writelines("\t".join(map(shown, r)) + "\n" for r in rows)
+    write_text(spark, path, "".join("\t".join(map(shown, r)) + "\n" for r in (header, *rows)))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methgrid.operators.regions import split_name
 from methgrid.sources.lines import numbered_lines
+from methgrid.sources.shared import read_text, write_text
 
 COMMENT = r"^(track|browser|#)"
 #: Attributes that name a GTF feature, the first that is there.
@@ -96,13 +95,13 @@ def read_log(spark: SparkSession, *paths: str) -> DataFrame:
     return numbered_lines(spark, *paths).select("src", "value")
 
 
-def read_catalog(path: str) -> dict:
+def read_catalog(spark: SparkSession, path: str) -> dict:
     """The genome catalog of a YAML file."""
-    return yaml.safe_load(Path(path).read_text()) or {}
+    return yaml.safe_load(read_text(spark, path)) or {}
 
 
-def write_catalog(catalog: dict, path: str) -> None:
-    Path(path).write_text(yaml.safe_dump(catalog, sort_keys=False))
+def write_catalog(spark: SparkSession, catalog: dict, path: str) -> None:
+    write_text(spark, path, yaml.safe_dump(catalog, sort_keys=False))
 
 
 def catalog_chroms(spark: SparkSession, catalog: dict, genome: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import struct
+import sys
 import zlib
 from pathlib import Path
 
@@ -125,7 +126,7 @@ def test_commands(spark, bench, tmp_path):
     assert (bench / "stats.txt").read_text().splitlines()[1] == "1_c\t0.5\t130\t260\t5"
     text(bench / "sizes", "chr1\t10\nchr1_alt\t5\n")
     cli.main(["add_genome", "new", "f.fa", "idx", "--sizes", f"{bench}/sizes", "--infoyaml", f"{bench}/info.yaml", "--main"])
-    assert tables.read_catalog(f"{bench}/info.yaml")["new"]["chroms"] == {"chr1": 10}
+    assert tables.read_catalog(spark, f"{bench}/info.yaml")["new"]["chroms"] == {"chr1": 10}
     text(bench / "m.fq", "@a 1:N:0:\nACGT\n+\nIIII\n")
     cli.main(["motif", f"{bench}/m.fq", f"{bench}/motif.txt", "--seq", "AYG"])
     assert (bench / "motif.txt").read_text() == "Name\tAvg_Total\tAvg_CpG_1\tCpG_meth_1\tCpG_total_1\nm.fq\t1\t1\t1\t1\n"
@@ -175,6 +176,43 @@ def test_pipeline_with_an_aligner(spark, tmp_path):
     assert pair.trimmed.count() == 4 and pair.sites.count() == 8
 
 
+ALIGNER = """
+import sys
+lines = sys.stdin.read().split("\\n")
+print("@HD")
+for k in range(0, len(lines) - 3, 4):
+    name = lines[k].split()[0][1:]
+    print("\\t".join([name, "0", "chrM", str(int(name[1:]) * 10 + 1), "255", "2M", "*", "0", "0", "AC", "II", "XO:Z:+FW", "XM:Z:Xx"]))
+"""
+
+
+@pytest.mark.parametrize("piped", [True, False])
+def test_process_with_a_program(spark, tmp_path, piped):
+    """Sites, conversion and, where the program writes a log, the summary of both runs."""
+    text(tmp_path / "a.fq", "".join(f"@r{k} 1:N:0:\n{'ACGT' * 20}\n+\n{'I' * 80}\n" for k in range(4)))
+    text(tmp_path / "align.py", ALIGNER)
+    stamped = ["Read filename: x", "Mappability = 41.5%", "Total bases of uniquely mapped reads :     240", " mCG  50.0%", " mCHG  1.0%", " mCHH  2.0%"]
+    text(tmp_path / "log", "".join(f"[2020-01-01 00:00:00] {line}\n" for line in stamped))
+    text(tmp_path / "hg.yaml", "hg:\n  chroms:\n    chrM: 100\n")
+    command = f"{sys.executable} {tmp_path}/align.py"
+    if not piped:
+        command += f" < {{fastq}} > {{sam}}; cp {tmp_path}/log {{log}}"
+    cli.main(["process_se", f"{tmp_path}/a.fq", f"{tmp_path}/out", "--genome", "hg", "--infoyaml", f"{tmp_path}/hg.yaml", "--aligner", command, "--shared", str(tmp_path)])
+    assert joined(tmp_path / "out_chrM.bed.gz").count("\n") == 9
+    assert (tmp_path / "out_conv.txt").read_text() == "conv_eff\tmeth\ttotal\tcpg_count\n0.5\t4\t8\t8\n"
+    assert (tmp_path / "out_summary.txt").exists() != piped
+    if not piped:
+        heads, runs, row = (tmp_path / "out_summary.txt").read_text().splitlines()
+        assert heads.endswith("mCHH\t\tconv_eff\tmeth\ttotal\tcpg_count") and runs == "\t".join(["noadap", "trimmed"] * 5)
+        assert row == "240\t240\t41.5%\t41.5%\t50.0%\t50.0%\t1.0%\t1.0%\t2.0%\t2.0%\t0.5\t4\t8\t8"
+
+
+def test_piped_aligner_that_fails(spark, tmp_path):
+    path = text(tmp_path / "a.fq", "@r0 1:N:0:\nACGT\n+\nIIII\n")
+    with pytest.raises(Exception, match="the aligner ended with 3"):
+        pipelines.piped_aligner(spark, "cat > /dev/null; exit 3")(fastq.read_fastq(spark, path))
+
+
 def test_streamed_stats(spark, tmp_path):
     schema = "sample string, chrom string, start long, end long, perc string, total long"
     spark.createDataFrame([("s", "c", 1, 2, "0.50", 10)], schema).write.parquet(str(tmp_path / "in"))
