@@ -87,6 +87,28 @@ def test_sam_and_bam_agree(spark, tmp_path):
     assert {(r.chrom, r.pos, r.meth, r.total) for r in pileup.pileup(two).collect()} == {("chr1", 4, 1, 1), ("chr1", 7, 0, 1), ("chr1", 8, 0, 1), ("chr1", 5, 1, 1), ("chr2", 4, 1, 1), ("chr2", 5, 1, 1)}
 
 
+@pytest.mark.parametrize("part_bytes", [700, 4000, 1 << 27])
+def test_bam_in_parts(spark, tmp_path, part_bytes):
+    """A file read in parts of any size has the alignments of the whole, also those that cross borders, in their order."""
+    sam = "@HD\tVN:1.0\n" + "".join(f"r{k}\t0\t{'*' if k % 9 == 8 else 'chr2'}\t{k + 1}\t255\t4M\t=\t{k * 3}\t0\tACGT\tIIII\tXO:Z:+FW\tXM:Z:{'Xx.z' * (k % 60)}\n" for k in range(900))
+    (tmp_path / "a.bam").write_bytes(bam(sam))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(part_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = alignments.read_bam(spark, str(tmp_path / "a.bam")).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.ord, r.chrom, r.start, r.mpos, r.xm) for r in rows] == [(k, "chr2", k, k * 3 - 1, "Xx.z" * (k % 60)) for k in range(900) if k % 9 != 8]
+
+
+def test_bam_cut_short_raises(spark, tmp_path):
+    (tmp_path / "a.bam").write_bytes(bgzf(b"BAM\1" + struct.pack("<iiI", 0, 0, 500) + b"x" * 9))
+    with pytest.raises(Exception, match="ends inside"):
+        alignments.read_bam(spark, str(tmp_path / "a.bam"))
+
+
 def test_missing_tag_raises(spark, tmp_path):
     path = text(tmp_path / "a.sam", SAM.replace("\tXM:Z:X--x", ""))
     with pytest.raises(Exception, match="XM tag"):
