@@ -46,6 +46,8 @@ def sam_reads(lines: DataFrame, chroms: list[str] | None = None) -> DataFrame:
 # How a BGZF block begins; the rest of its head is its length less one, in two bytes.
 BLOCK_MARK = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
 BLOCK_HEAD = len(BLOCK_MARK) + 2
+#: Blocks, of 64 KB at most, that come to Python at once.
+BLOCKS_AT_ONCE = 256
 #: Reads in a batch.
 BATCH = 10_000
 
@@ -237,7 +239,12 @@ def read_bam(spark: SparkSession, *paths: str, chroms: list[str] | None = None)
     blocks = spark.read.option("encoding", "ISO-8859-1").option("lineSep", BLOCK_MARK.decode("latin-1")).text(list(paths))
     blocks = blocks.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("block"))
     path = new_folder(spark, "bam")
-    blocks.mapInArrow(decode_parts, PART_SCHEMA).write.parquet(path)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCKS_AT_ONCE)
+    try:
+        blocks.mapInArrow(decode_parts, PART_SCHEMA).write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     rows = spark.read.schema(PART_SCHEMA).parquet(path)
     edges = rows.filter("idx IS NULL")  # a row for each part
     before = Window.partitionBy("src").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
