@@ -261,12 +261,11 @@ _CUT = "least(CASE WHEN strpos(f.seq, 'AGATCGGAAG') > 0 THEN strpos(f.seq, 'AGAT
     "fastq_r",
 )
 def command_trim_pefq(v):
-    """The reverse reads whose pair has an adapter. Two files of one order: a task writes each."""
+    """The reverse reads whose pair has an adapter. Two folders of one order, each read like one file."""
     spark, at = v("fastq").sparkSession, new_folder(v("fastq").sparkSession)
-    sides = []
-    for name in ("fastq", "fastq_r"):
-        own = v(name).select(F.concat_ws("\n", *fastq_files.FIELDS).alias("value"), "ord")
-        sides.append(write_lines(own.orderBy("ord").coalesce(1), F.col("value"), f"{at}/{name}"))
+    sides = [f"{at}/{name}" for name in ("fastq", "fastq_r")]
+    for name, side in zip(("fastq", "fastq_r"), sides, strict=True):
+        fastq_files.write_fastq(v(name).select("ord", *fastq_files.FIELDS), side)
     command(spark, "trim_pefq", *sides, f"{at}/out")
     return fastq_files.read_fastq(spark, f"{at}/out_rev/route=trimmed").select("header", "seq", "qual")
 

@@ -11,8 +11,8 @@ FIELDS = ("header", "seq", "third", "qual")
 
 
 def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
-    """Reads of plain or ``.gz`` files: ``src``, ``ord`` (their number in the file), ``header``, ``seq``, ``third``, ``qual``. An unfinished last record is left out."""
-    lines = numbered_lines(spark, *paths)
+    """Reads of plain or ``.gz`` files: ``src``, ``ord`` (their number in the file), ``header``, ``seq``, ``third``, ``qual``. An unfinished last record is left out. A folder as write_fastq() makes it is read like one file."""
+    lines = numbered_lines(spark, *paths, folders=True)
     part = F.pmod("line", F.lit(4))
     fields = [F.max(F.when(part == k, F.col("value"))).alias(name) for k, name in enumerate(FIELDS)]
     records = lines.groupBy("src", F.floor(F.col("line") / 4).cast("long").alias("ord")).agg(*fields)

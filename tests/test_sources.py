@@ -245,3 +245,42 @@ def test_streamed_stats(spark, tmp_path):
             assert tuple(spark.table("one").first()) == ("s", 0.5, 5, 10, 1)
             spark.createDataFrame([("s", "c", 5, 6, "1.00", 10)], schema).write.mode("append").parquet(str(tmp_path / "in"))
             break
+
+
+def fastq_rows(spark, rows):
+    return spark.createDataFrame([(k, f"@r{k} 1:N:0:A", x, "+", "I" * len(x)) for k, x in rows], "ord long, header string, seq string, third string, qual string")
+
+
+def test_trim_pefq_pairs_folders_of_other_parts(spark, tmp_path):
+    """Both folders have several parts, cut at other places: reads are paired by their number in the folder."""
+    adapter = "AGATCGGAAG"
+    forward = [(k, "A" * (50 + k) + adapter) for k in range(40)]
+    reverse = [(k, "C" * 120) for k in range(40)]
+    for name, rows, parts in (("f", forward, "3"), ("r", reverse, "5")):
+        old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            fastq.write_fastq(fastq_rows(spark, rows), str(tmp_path / name))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old[0])
+            spark.conf.set("spark.sql.adaptive.enabled", old[1])
+        assert len(list((tmp_path / name).glob("part-*"))) > 1
+    assert sorted((r.src.rpartition("/")[2], r.ord) for r in fastq.read_fastq(spark, str(tmp_path / "f")).collect()) == [("f", k) for k in range(40)]
+    cli.main(["trim_pefq", str(tmp_path / "f"), str(tmp_path / "r"), str(tmp_path / "out")])
+    got = joined(tmp_path / "out_rev" / "route=trimmed").splitlines()
+    assert [(h, len(x)) for h, x in zip(got[::4], got[1::4], strict=True)] == [(f"@r{k} 1:N:0:A", 40 + k) for k in range(40)]
+
+
+def test_command_trim_pefq_writes_in_several_tasks(spark, monkeypatch):
+    from methgrid.plans import file_queries, queries
+
+    seen = []
+    monkeypatch.setattr(file_queries, "command", lambda spark, name, *argv: seen.extend(argv))
+    monkeypatch.setattr(file_queries.fastq_files, "read_fastq", lambda *_: spark.createDataFrame([], "header string, seq string, qual string"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        queries.QUERIES["command_trim_pefq"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(len(list(Path(x.removeprefix("file:")).glob("part-*"))) > 1 for x in seen[:2])
