@@ -26,6 +26,22 @@ def test_quality_filter_without_flags(spark):
     assert fastq.quality_filter(df, strict_compat=True).count() == 0
 
 
+def test_quality_filter_reads_stay_where_they_are(spark):
+    """Few files: no task gets all reads of one; null and repeated numbers and headers say what they did."""
+    rows = [("a", 1, "@r"), ("a", 0, None), ("a", 2, "@r 1:N:0:A"), ("b", 5, "@r 1:Y:0:A"), ("b", 6, "@r"), (None, 3, "@r"), (None, 4, "@r 1:Y:0:A"), ("c", None, "@r 1:N:0:A")]
+    df = spark.createDataFrame([(s, k, h, "A", "+", "I") for s, k, h in rows], FIELDS)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = fastq.quality_filter(df)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    # a's first header is missing, so it only keeps what passed; the file without a name has no flag at first
+    assert sorted((r.src or "", r.ord or 0) for r in kept.collect()) == [("", 3), ("", 4), ("a", 2), ("c", 0)]
+
+
 def test_trim_se_routes(spark):
     df = reads(spark, read("A" * 100), read("A" * 5 + ADAPTER + "C" * 85), read("A" * 61 + ADAPTER + "C" * 29), read("C" * 8), read("A" * 45 + ADAPTER), read("A" * 44 + ADAPTER))
     got = {r.ord: (r.route, len(r.seq), len(r.qual)) for r in fastq.trim_se(df).collect()}
