@@ -4,6 +4,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from methgrid import cli
@@ -284,3 +285,29 @@ def test_command_trim_pefq_writes_in_several_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert all(len(list(Path(x.removeprefix("file:")).glob("part-*"))) > 1 for x in seen[:2])
+
+
+def test_fastq_records_over_blocks(spark, tmp_path):
+    """Records that begin in one block and end in the next, an unfinished last one; lines are dealt to no other task, records over a border aside."""
+    body = "".join(f"@r{k}\nACGT{'A' * (k % 50)}\n+\nIIII{'#' * (k % 50)}\n" for k in range(3000))
+    path = text(tmp_path / "a.fq", body + "@last\nAC\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, x in zip(old, ("7001", "-1", "7"), strict=True):
+        spark.conf.set(k, x)
+    try:
+        reads = fastq.read_fastq(spark, path)
+        plan = reads._jdf.queryExecution().executedPlan().toString()
+        rows = reads.collect()
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert "SortMergeJoin" not in plan
+    assert sorted((r.ord, r.header, len(r.seq), r.third, len(r.qual)) for r in rows) == [(k, f"@r{k}", 4 + k % 50, "+", 4 + k % 50) for k in range(3000)]
+
+
+def test_fold_refuses_lines_out_of_order():
+    batch = lambda *lines: pa.RecordBatch.from_pydict({"src": ["f"] * len(lines), "line": list(lines), "value": [str(x) for x in lines]})
+    assert [tuple(r.values()) for b in fastq.fold([batch(4, 5), batch(6, 7, 12), batch(13, 14, 15)]) for r in b.to_pylist()] == [("f", 1, "4", "5", "6", "7"), ("f", 3, "12", "13", "14", "15")]
+    for lines in ((4, 5, 7, 6), (5, 6, 7, 8), (4, 5, 6)):
+        with pytest.raises(ValueError):
+            list(fastq.fold([batch(*lines)]))
