@@ -52,6 +52,8 @@ def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
 def write_fastq(reads: DataFrame, path: str, gz: bool = False, by: str | None = None) -> None:
     """Four lines for each read, in the order of ``ord``; ``by`` names a column that deals the reads to folders."""
     record = F.concat_ws("\n", *FIELDS).alias("value")
-    ordered = reads.repartitionByRange("ord").sortWithinPartitions("ord").select(*([by] if by else []), record)
+    dealt = [by] if by else []
+    # sorted by folder first, as the writer asks: it would sort anew, and lose the order
+    ordered = reads.repartitionByRange("ord").sortWithinPartitions(*dealt, "ord").select(*dealt, record)
     out = ordered.write.option("compression", "gzip" if gz else "none")
     (out.partitionBy(by) if by else out).text(path)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from methgrid import cli
+from methgrid.operators import fastq as operators
 from methgrid.operators import pileup
 from methgrid.plans import pipelines
 from methgrid.sources import alignments, fastq, sinks, tables
@@ -311,3 +312,20 @@ def test_fold_refuses_lines_out_of_order():
     for lines in ((4, 5, 7, 6), (5, 6, 7, 8), (4, 5, 6)):
         with pytest.raises(ValueError):
             list(fastq.fold([batch(*lines)]))
+
+
+def test_trim_sefq_keeps_the_order(spark, tmp_path):
+    """Every route in the order of the file, though routes alternate; the filter deals no reads by file."""
+    adapter = "AGATCGGAAG"
+    body = "".join(f"@r{k} 1:N:0:A\n{'A' * 60 + (adapter if k % 3 else 'C' * 10)}\n+\n{'I' * 70}\n" for k in range(4000))
+    path = text(tmp_path / "a.fq", body)
+    cli.main(["trim_sefq", path, str(tmp_path / "out")])
+    for route, own in (("trimmed", [k for k in range(4000) if k % 3]), ("noadap", range(0, 4000, 3))):
+        assert joined(tmp_path / "out" / f"route={route}").splitlines()[::4] == [f"@r{k} 1:N:0:A" for k in own]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = operators.quality_filter(fastq.read_fastq(spark, path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
