@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methgrid.functions.rounding import share, stored_methylated
-from methgrid.operators.intervals import BIN, mask, overlap_join
+from methgrid.operators.intervals import Width, mask, mean_length, overlap_join
 
 
 def parse_counts(sites: DataFrame) -> DataFrame:
@@ -36,12 +36,12 @@ def distinct_regions(regions: DataFrame) -> DataFrame:
     return regions.groupBy("chrom", "start", "end").agg(F.max_by("name", "ord").alias("name"))
 
 
-def region_hits(sites: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def region_hits(sites: DataFrame, regions: DataFrame, width: Width | None = None) -> DataFrame:
     """A row for each site in each region: the region's start and end as ``r_start``, ``r_end``, and the site."""
     return overlap_join(sites, regions.select("chrom", "start", "end"), width)
 
 
-def region_counts(sites: DataFrame, regions: DataFrame, samples: list[str], width: int = BIN) -> DataFrame:
+def region_counts(sites: DataFrame, regions: DataFrame, samples: list[str], width: Width | None = None) -> DataFrame:
     """Sums for every region and sample: ``meth``, ``total``, ``cpgs``; zeros where a sample has no site there."""
     hits = region_hits(parse_counts(sites), regions, width)
     sums = hits.groupBy("chrom", F.col("r_start").alias("start"), F.col("r_end").alias("end"), "sample").agg(F.sum("meth").alias("meth"), F.sum("total").cast("long").alias("total"), F.count("*").alias("cpgs"))
@@ -74,12 +74,13 @@ def wide(counts: DataFrame, samples: list[str], min_reads: int, min_cpgs: int, m
 
 
 def roi_meth(
-    sites: DataFrame, regions: DataFrame, samples: list[str], masked: DataFrame | None = None, files: DataFrame | None = None, min_reads: int = 1, min_cpgs: int = 10, min_samples: int = -1, raw: bool = False, width: int = BIN, ordered: bool = True
+    sites: DataFrame, regions: DataFrame, samples: list[str], masked: DataFrame | None = None, files: DataFrame | None = None, min_reads: int = 1, min_cpgs: int = 10, min_samples: int = -1, raw: bool = False, width: Width | None = None, ordered: bool = True
 ) -> DataFrame:
     """The wide table of regions, in the order of the region file's chromosomes, then start and end. ``files`` says which sample has which chromosome; by default those with sites."""
     chroms = eligible_chroms(sites if files is None else files, regions, len(samples))
     own = distinct_regions(regions).join(chroms.select("chrom"), "chrom", "left_semi")
-    table = wide(region_counts(mask(sites, masked, width), own, samples, width), samples, min_reads, min_cpgs, min_samples, raw)
+    counts = region_counts(mask(sites, masked, width), own, samples, mean_length(regions) if width is None else width)
+    table = wide(counts, samples, min_reads, min_cpgs, min_samples, raw)
     return table.join(chroms, "chrom").orderBy("chrom_ord", "start", "end").drop("chrom_ord") if ordered else table
 
 

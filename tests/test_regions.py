@@ -85,6 +85,25 @@ def test_overlaps_equal_the_plain_join(spark, a, b, width):
     assert intervals.mask(one, None) is one
 
 
+def test_bins_follow_the_lengths(spark):
+    """Few more pairs are compared than overlap, and few more bins made than intervals, for narrow regions as for wide ones; results equal the plain join, a huge interval among narrow ones too."""
+    points = spark.range(0, 3000).selectExpr("'c' AS chrom", "id * 7 AS start", "id * 7 + 1 AS end")
+    for length, step in ((100, 25), (5000, 2500)):
+        many = spark.range(0, 400).selectExpr("'c' AS chrom", f"id * {step} AS start", f"id * {step} + {length} AS end")
+        width = intervals.mean_length(many)
+        a, b = intervals.binned(points, width), intervals.binned(many, width)
+        assert b.count() <= 3 * 400
+        assert a.join(b, ["chrom", "__bin"]).count() <= 3 * intervals.overlap_join(points, many).count()
+    rows = [("c", 50 * k, 50 * k + 3 + k % 9, k) for k in range(60)] + [("c", 100, 900_000, 60), ("d", 0, 4, 61)]
+    some = spark.createDataFrame(rows, "chrom string, start long, end long, k long")
+    want = sorted((p, k) for c, s, e, k in rows for p in range(0, 21000, 7) if c == "c" and s < p + 1 and e > p)
+    assert sorted((r.start, r.r_k) for r in intervals.overlap_join(points, some).collect()) == want
+    inside = {p for p, _ in want}
+    assert sorted(r.start for r in intervals.sites_in(points, some).collect()) == sorted(inside)
+    assert sorted(r.start for r in intervals.mask(points, some).collect()) == sorted(set(range(0, 21000, 7)) - inside)
+    assert intervals.overlap_join(points, some.limit(0)).count() == 0
+
+
 def test_lossy_counts_and_forms(spark):
     df = sites(spark, [("c", 1, 2, f"{50 / 101:.2f}", 101)], ("s",))
     assert regions.parse_counts(df).first().meth == 51
