@@ -31,6 +31,13 @@ def eligible_chroms(files: DataFrame, regions: DataFrame, n_samples: int) -> Dat
     return regions.groupBy("chrom").agg(F.min("ord").alias("chrom_ord")).join(full, "chrom", "left_semi")
 
 
+def own_chroms(sites: DataFrame, regions: DataFrame, samples: list[str], files: DataFrame | None, min_cpgs: int, min_samples: int) -> DataFrame:
+    """eligible_chroms() for a wide table. Where no ``files`` are given, and a region passes only with sites of every sample, no region of another chromosome gets into the table: then the sites need not be looked through."""
+    if files is None and min_samples in (-1, len(samples)) and min_cpgs >= 1:
+        return regions.groupBy("chrom").agg(F.min("ord").alias("chrom_ord"))
+    return eligible_chroms(sites if files is None else files, regions, len(samples))
+
+
 def distinct_regions(regions: DataFrame) -> DataFrame:
     """Regions of one start and end become one; the last name wins."""
     return regions.groupBy("chrom", "start", "end").agg(F.max_by("name", "ord").alias("name"))
@@ -77,7 +84,7 @@ def roi_meth(
     sites: DataFrame, regions: DataFrame, samples: list[str], masked: DataFrame | None = None, files: DataFrame | None = None, min_reads: int = 1, min_cpgs: int = 10, min_samples: int = -1, raw: bool = False, width: Width | None = None, ordered: bool = True
 ) -> DataFrame:
     """The wide table of regions, in the order of the region file's chromosomes, then start and end. ``files`` says which sample has which chromosome; by default those with sites."""
-    chroms = eligible_chroms(sites if files is None else files, regions, len(samples))
+    chroms = own_chroms(sites, regions, samples, files, min_cpgs, min_samples)
     own = distinct_regions(regions).join(chroms.select("chrom"), "chrom", "left_semi")
     counts = region_counts(mask(sites, masked, width), own, samples, mean_length(regions) if width is None else width)
     table = wide(counts, samples, min_reads, min_cpgs, min_samples, raw)
@@ -111,7 +118,7 @@ def window_meth(
     sites: DataFrame, chroms: DataFrame, samples: list[str], size: int = 20000, masked: DataFrame | None = None, files: DataFrame | None = None, min_reads: int = 1, min_cpgs: int = 20, min_samples: int = -1, raw: bool = False, gapless: bool = False, ordered: bool = True
 ) -> DataFrame:
     """The wide table of windows; ``chroms`` has chrom, length and ord."""
-    own = eligible_chroms(sites if files is None else files, chroms, len(samples))
+    own = own_chroms(sites, chroms, samples, files, min_cpgs, min_samples)
     lengths = chroms.join(own.select("chrom"), "chrom", "left_semi")
     table = wide(window_counts(mask(sites, masked), lengths, size, samples, gapless), samples, min_reads, min_cpgs, min_samples, raw)
     return table.join(own, "chrom").orderBy("chrom_ord", "start", "end").drop("chrom_ord") if ordered else table

@@ -104,6 +104,15 @@ def test_bins_follow_the_lengths(spark):
     assert intervals.overlap_join(points, some.limit(0)).count() == 0
 
 
+def test_table_of_all_samples_reads_the_sites_once(spark):
+    df = spark.range(0, 60).selectExpr("concat('s', id % 2 + 1) AS sample", "IF(id < 50, 'c', 'd') AS chrom", "id AS start", "id + 1 AS end", "'1.00' AS perc", "id AS total").filter("chrom = 'c' OR sample = 's1'")
+    rois = areas(spark, ("c", 0, 40, "x"), ("d", 50, 60, "y"))
+    for need in (-1, 2, 1):
+        table = regions.roi_meth(df, rois, ["s1", "s2"], min_cpgs=1, min_samples=need)
+        assert need == 1 or table._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+        assert [r[3] for r in rows_of(table)] == ["x"]
+
+
 def test_lossy_counts_and_forms(spark):
     df = sites(spark, [("c", 1, 2, f"{50 / 101:.2f}", 101)], ("s",))
     assert regions.parse_counts(df).first().meth == 51
