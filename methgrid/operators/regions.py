@@ -35,7 +35,8 @@ def own_chroms(sites: DataFrame, regions: DataFrame, samples: list[str], files:
     """eligible_chroms() for a wide table. Where no ``files`` are given, and a region passes only with sites of every sample, no region of another chromosome gets into the table: then the sites need not be looked through."""
     if files is None and min_samples in (-1, len(samples)) and min_cpgs >= 1:
         return regions.groupBy("chrom").agg(F.min("ord").alias("chrom_ord"))
-    return eligible_chroms(sites if files is None else files, regions, len(samples))
+    own = (sites if files is None else files).filter(F.col("sample").isin(samples))
+    return eligible_chroms(own, regions, len(samples))
 
 
 def distinct_regions(regions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from methgrid.operators import convert, intervals, logs, regions, tabular
 
@@ -111,6 +112,9 @@ def test_table_of_all_samples_reads_the_sites_once(spark):
         table = regions.roi_meth(df, rois, ["s1", "s2"], min_cpgs=1, min_samples=need)
         assert need == 1 or table._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
         assert [r[3] for r in rows_of(table)] == ["x"]
+    # a sample that isn't asked for says nothing about a chromosome
+    more = df.unionByName(df.filter("sample = 's1'").withColumn("sample", F.lit("s3")))
+    assert [r[3] for r in rows_of(regions.roi_meth(more, rois, ["s1", "s2"], min_cpgs=1, min_samples=1))] == ["x"]
 
 
 def test_lossy_counts_and_forms(spark):
